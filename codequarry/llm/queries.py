@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+from codequarry.llm import bagminhash, chat_format, decontaminate, language_id, media, packing, pii, quality, suffix_dedup, url_filter
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,14 +13,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.pages_through_archives(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codequarry.llm.bagminhash import near_duplicates
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_suffix_array_dedup, op2_benchmark_decontamination, op3_language_id, op4_media_columns, op5_quality_classifier, op6_pii, op7_url_filter, op8_minhash_near_dedup, op9_best_fit_packing, op10_chat_formatting)
+} | {"pipeline": corpus_pipeline.run}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_minhash_near_dedup": op8_minhash_near_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_suffix_array_dedup": suffix_dedup.oracle(),
+    "op4_media_columns": "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS size, sha256(html) AS sha256, CAST(NULL AS VARCHAR) AS error FROM pages",
+    "op7_url_filter": url_filter.oracle(),
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
