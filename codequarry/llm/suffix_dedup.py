@@ -220,7 +220,7 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def oracle(length: int = LENGTH) -> str:
     return f"""
-WITH w AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), x -> x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH w AS (SELECT DISTINCT doc_id, [x FOR x IN regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+') IF x <> ''] AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - {length} + 1)) AS i FROM w WHERE len(ws) >= {length}),
 h AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + {length}], ' ')) AS h FROM p),
 r AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1),
