@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -48,3 +51,27 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def map_rows(df: DataFrame, function: Callable[[Iterable[tuple]], Iterable[tuple]], schema: str, whole: bool = False) -> DataFrame:
+    """A table function: rows of `df`, as tuples, to rows of `schema`, a batch at a time, or with `whole` a partition at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship(df.sparkSession)
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def rows(batch: pa.RecordBatch) -> Iterable[tuple]:
+        return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def pack(found: Iterable[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * len(out)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if whole:
+            yield pack(function(r for b in batches for r in rows(b)))
+        else:
+            for batch in batches:
+                yield pack(function(rows(batch)))
+
+    return df.mapInArrow(run, schema)
