@@ -27,7 +27,6 @@ from codequarry.llm._text import slices
 from codequarry.session import ship
 
 ERROR_RATE, PART_CHARS = 0.05, 8_000_000
-_AUTOMATA: dict[int, object] = {}
 
 
 def normal(text: str) -> str:
@@ -116,6 +115,8 @@ def leaks(text: str, auto, items: list[tuple[int, str]], masks: list[dict[str, i
 def _scan(shared, error_rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
+        if not items:
+            return
         auto = automaton(items, error_rate)
         masks = [alphabet(t) for _, t in items]
         for batch in batches:
