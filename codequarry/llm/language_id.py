@@ -93,23 +93,27 @@ def mixtures(words: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gram, word = ngrams(words)
     if not len(word) or not n_lang:
         return pi, score
-    log = np.add.reduceat(table[gram], np.flatnonzero(np.diff(word, prepend=-1)), 0)
-    top = log.max(1, keepdims=True)
-    like = np.exp(log - top)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    columns = np.ascontiguousarray(table.T)
+    like = np.stack([np.add.reduceat(columns[k][gram], first) for k in range(n_lang)])  # a row a language: long rows are what numpy is fast at
+    top = like.max(0)
+    like = np.exp(like - top)
     some = np.flatnonzero(words.count)
 
     def em(active: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proportions and log likelihood (without the words' tops) of these documents."""
         count = words.count[docs]
-        owner = np.repeat(np.arange(len(docs)), count)
         begin = np.cumsum(count) - count
-        mine = like if len(docs) == len(some) else like[np.repeat(words.bounds[:-1][docs] - begin, count) + np.arange(len(owner))]
-        p = active / active.sum(1, keepdims=True)
-        for _ in range(ROUNDS if n_lang > 1 else 1):
-            joint = mine * p[owner]
-            joint /= np.maximum(joint.sum(1, keepdims=True), 1e-30)
-            p = np.add.reduceat(joint, begin, 0) / count[:, None]
-        return p, np.add.reduceat(np.log(np.maximum((mine * p[owner]).sum(1), 1e-30)), begin)
+        mine = like if len(docs) == len(some) else like[:, np.repeat(words.bounds[:-1][docs] - begin, count) + np.arange(count.sum())]
+        p = (active / active.sum(1, keepdims=True)).T
+        for step in range(ROUNDS + 1 if n_lang > 1 else 1):
+            joint = [mine[k] * np.repeat(p[k], count) for k in range(n_lang)]
+            total = np.maximum(sum(joint), np.float32(1e-30))
+            if step == ROUNDS or n_lang == 1:
+                break
+            p = np.stack([np.add.reduceat(j / total, begin) for j in joint]) / count
+            p = p.astype(np.float32)
+        return p.T, np.add.reduceat(np.log(total), begin)
 
     active = np.ones((len(some), n_lang), np.float32)
     p, fitted = em(active, some)
@@ -125,7 +129,7 @@ def mixtures(words: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         active[open_], p[open_], fitted[open_] = fewer, q, likelihood
     pi[some] = p * active
-    score[some] = (fitted + _by_doc(top[:, 0], words.bounds, some)[some]) / words.count[some]
+    score[some] = (fitted + _by_doc(top, words.bounds, some)[some]) / words.count[some]
     return pi, score
 
 
@@ -133,7 +137,7 @@ def _infer(shared, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 500_000):
                 words = Words(part.column("text"), _LETTERS, lower=True)
                 pi, score = mixtures(words, table)
                 main = pi.argmax(1) if len(languages) else np.zeros(words.rows, np.int64)
@@ -169,7 +173,7 @@ def _filter(shared, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 500_000):
                 pi, _ = mixtures(Words(part.column("text"), _LETTERS, lower=True), table)
                 yield part.filter(pa.array(pi.max(1, initial=0) >= share))
 
