@@ -74,7 +74,8 @@ def _finding(df: DataFrame, tool: str, domain: Column | str, category: Column |
 
 def _items(df: DataFrame, schema: str, path: Column | None = None) -> DataFrame:
     """Elements of a JSON array of objects."""
-    return df.select(F.explode(F.from_json(path if path is not None else F.col("payload"), f"array<struct<{schema}>>")).alias("i")).filter("i is not null").select("i.*")
+    text = path if path is not None else F.col("payload")
+    return df.select(F.explode(F.from_json(F.when(F.ltrim(text).startswith("["), text), f"array<struct<{schema}>>")).alias("i")).filter("i is not null").select("i.*")
 
 
 def relative(path: Column, root: str | None) -> Column:
@@ -93,7 +94,7 @@ def ruff(df: DataFrame, root: str | None = None) -> DataFrame:
 
 def gitleaks(df: DataFrame, root: str | None = None) -> DataFrame:
     schema = "RuleID: string, Description: string, File: string, StartLine: int, Line: int, Fingerprint: string, Commit: string, Author: string, Entropy: string, Match: string"
-    raw = df.select(F.explode(F.from_json("payload", "array<string>")).alias("raw"))
+    raw = df.select(F.explode(F.from_json(F.when(F.ltrim("payload").startswith("["), F.col("payload")), "array<string>")).alias("raw"))
     i = raw.select("raw", F.from_json("raw", f"struct<{schema}>").alias("i")).filter("i is not null").select("raw", "i.*")
     line = F.coalesce(F.nullif(F.col("StartLine"), F.lit(0)), F.nullif(F.col("Line"), F.lit(0)), F.lit(1))
     own = F.sha2(F.concat(F.lit("gitleaks:"), "raw"), 256)

@@ -1,6 +1,6 @@
 """The index of a code base as Parquet: files, symbols, dependencies, envelopes, metrics. Mutations are anti-joins and rewrites.
 
-A snapshot is a folder with a table a folder. It is written beside the old one and takes its place by name at the end.
+A table is a folder of versions; the last one that was written whole counts.
 """
 
 from __future__ import annotations
@@ -103,26 +103,32 @@ class Index:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def exists(self, table: str) -> bool:
+    def versions(self, table: str) -> list[str]:
+        """Folders of the table's whole versions, oldest first."""
         fs, p = self._fs(f"{self.folder}/{table}")
-        return fs.exists(p)
+        if not fs.exists(p):
+            return []
+        names = sorted(f.getPath().getName() for f in fs.listStatus(p))
+        return [f"{self.folder}/{table}/{n}" for n in names if n.startswith("v") and fs.exists(self._fs(f"{self.folder}/{table}/{n}/_SUCCESS")[1])]
+
+    def exists(self, table: str) -> bool:
+        return bool(self.versions(table))
 
     def read(self, table: str) -> DataFrame:
-        if self.exists(table):
-            return self.spark.read.parquet(f"{self.folder}/{table}")
-        return self.spark.createDataFrame([], self.TABLES[table])
+        if table == "metrics":
+            fs, p = self._fs(f"{self.folder}/metrics")
+            return self.spark.read.parquet(f"{self.folder}/metrics") if fs.exists(p) else self.spark.createDataFrame([], METRICS)
+        found = self.versions(table)
+        return self.spark.read.parquet(found[-1]) if found else self.spark.createDataFrame([], self.TABLES[table])
 
     def write(self, table: str, rows: DataFrame) -> None:
-        """Write beside, then swap by renaming: readers of the old table and a crash between leave a whole one."""
-        target = f"{self.folder}/{table}"
-        rows.write.mode("overwrite").parquet(f"{target}.new")
-        fs, p = self._fs(target)
-        old = self._fs(f"{target}.old")[1]
-        fs.delete(old, True)
-        if fs.exists(p):
-            fs.rename(p, old)
-        fs.rename(self._fs(f"{target}.new")[1], p)
-        fs.delete(old, True)
+        """Write the next version. The one before stays for those that still read it, older ones go."""
+        found = self.versions(table)
+        n = int(found[-1].rsplit("v", 1)[1]) + 1 if found else 1
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{table}/v{n:08d}")
+        for old in found[:-1]:
+            fs, p = self._fs(old)
+            fs.delete(p, True)
 
     def append_metrics(self, run_id: str, values: dict[str, str]) -> None:
         self.spark.createDataFrame([(run_id, k, v) for k, v in values.items()], METRICS).write.mode("append").parquet(f"{self.folder}/metrics")
