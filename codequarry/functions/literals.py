@@ -224,11 +224,11 @@ def _low_signal(value: str, shortest: int, unwanted: set[str]) -> bool:
     return len(value) < shortest or value.isdigit() or ignorable(value) or value.lower() in unwanted or data_name(value) or utility_class(value) or _SEMVER.fullmatch(value) is not None or fragment(value) or protocol(value)
 
 
-def magic(value: str, path: str, shortest: int, unwanted: set[str], entities: set[str], contracts: set[str]) -> bool:
+def magic(value: str, path: str, shortest: int, unwanted: set[str]) -> bool:
     """A compared literal worth a name of its own."""
     v = value.strip()
-    if _low_signal(v, shortest, unwanted) or v in entities or v in contracts or v[0] in "_#.[" or IP.fullmatch(v) or _LOCALE.fullmatch(v) or v.lower() in ("http", "https", "localhost", "utf-8", "xmlhttprequest"):
-        return v[:1] in ("#", ".", "[") and not any(c.isalpha() for c in v) and not _low_signal(v, shortest, unwanted) and v not in contracts
+    if _low_signal(v, shortest, unwanted) or v[0] == "_" or v[0] in "#.[" and any(c.isalpha() for c in v) or IP.fullmatch(v) or _LOCALE.fullmatch(v) or v.lower() in ("http", "https", "localhost", "utf-8", "xmlhttprequest"):
+        return False
     return not (is_tooling(path) and re.fullmatch("[a-z0-9_-]+(?::[a-z0-9_-]+)?", v)) and not (is_interactive(path) and simple(v))
 
 

@@ -34,7 +34,8 @@ _ENV_CALLS = {
 _JS_NAME = re.compile(r"\b(?:import\.meta|process)\.env\.([A-Z0-9_]+)\b")
 
 
-def magic_strings(path: str, content: str, policy: HardwiringPolicy, entities: set[str], contracts: set[str]) -> Iterator[tuple]:
+def magic_strings(path: str, content: str, policy: HardwiringPolicy) -> Iterator[tuple]:
+    """Candidates; those that are declared as contracts or entities are taken out by joins."""
     if L.in_globs(path, policy.magic_string_skip_path_patterns):
         return
     unwanted = {x.lower() for x in policy.low_signal_literals}
@@ -51,7 +52,7 @@ def magic_strings(path: str, content: str, policy: HardwiringPolicy, entities: s
             plain = L.simple(value.strip()) and not L.compound(value.strip())
             if (L.noise_switch(recent, noise) if case else L.noise_line(line, recent, noise)) or L.styling(line, value) or L.marker_context(value, context) or plain and not signalled:
                 continue
-            if not L.magic(value, path, policy.magic_string_min_length, unwanted, entities, contracts):
+            if not L.magic(value, path, policy.magic_string_min_length, unwanted):
                 continue
             strong = case or L.compound(value.strip())
             if L.contract_like(path, context, value):
@@ -63,7 +64,8 @@ def magic_strings(path: str, content: str, policy: HardwiringPolicy, entities: s
             recent = [*recent[-2:], line.strip()]
 
 
-def entity_names(path: str, content: str, policy: HardwiringPolicy, entities: set[str]) -> Iterator[tuple]:
+def entity_names(path: str, content: str, policy: HardwiringPolicy) -> Iterator[tuple]:
+    """Literals where an entity is meant; a join keeps those that are one."""
     p = L.forward(path)
     low = p.lower()
     if any(d in p for d in ("/Entities/", "/i18n/", "/lang/")) or L.is_entity_noise(p) or "/migrat" in low and ("/migration" in low or "/migrate" in low) or "migration" in L.name_of(p).rsplit(".", 1)[0] or "espo_migration" in low or "Make" in p and "Command" in p:
@@ -79,8 +81,6 @@ def entity_names(path: str, content: str, policy: HardwiringPolicy, entities: se
             continue
         for m in found:
             value = m["text"]
-            if value not in entities:
-                continue
             before = line[max(0, m.start() - 160) : m.start()]
             before = before[max(before.rfind(c) for c in ",;{") + 1 :]
             if needed or _BEFORE.search(before) or _AFTER.match(line[m.end() : m.end() + 120]):
@@ -129,7 +129,7 @@ def environment(path: str, content: str, language: str, policy: HardwiringPolicy
             break
 
 
-def literals(path: str, content: str, policy: HardwiringPolicy, contracts: set[str]) -> Iterator[tuple[str, int]]:
+def literals(path: str, content: str, policy: HardwiringPolicy) -> Iterator[tuple[str, int]]:
     unwanted = {x.lower() for x in policy.low_signal_literals}
     skip = [re.compile(x) for x in policy.repeated_literal_skip_regexes]
     for no, raw in enumerate(content.splitlines(), 1):
@@ -138,7 +138,7 @@ def literals(path: str, content: str, policy: HardwiringPolicy, contracts: set[s
             continue
         for m in L.LITERAL.finditer(line):
             value = m["text"]
-            if not L.styling(line, value) and L.repeatable(value, max(2, policy.repeated_literal_min_length), unwanted, policy.repeated_literal_require_compound, skip) and value.strip() not in contracts:
+            if not L.styling(line, value) and L.repeatable(value, max(2, policy.repeated_literal_min_length), unwanted, policy.repeated_literal_require_compound, skip):
                 yield value, no
 
 
@@ -147,27 +147,22 @@ def entity_types(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbols.filter("type = 'class'").join(files.filter(F.col("path").ilike("%/Entities/%")).select("file_id"), "file_id", "left_semi").select(F.col("name").alias("value")).distinct()
 
 
-def scan(files: DataFrame, entities: set[str], contracts: set[str], policy: HardwiringPolicy | None = None) -> DataFrame:
-    """Findings of single files, and rows of category literal, which repeated_literals() takes. files: (path, language, content).
-
-    Entities and contracts are the declared names of one code base; they go to the executors in the function.
-    """
+def scan(files: DataFrame, policy: HardwiringPolicy | None = None) -> DataFrame:
+    """Candidates of single files, and rows of category literal, which repeated_literals() takes. files: (path, language, content)."""
     policy = policy or HardwiringPolicy()
-    shared = files.sparkSession.sparkContext.broadcast((entities, contracts))
 
     def run(rows: Iterable[tuple]) -> list[tuple]:
-        known, declared = shared.value
         out: list[tuple] = []
         for path, language, content in rows:
             if content is None or L.is_test(path) or L.in_globs(path, policy.skip_path_patterns):
                 continue
             text = L.script_only(path, content)
-            out += magic_strings(path, text, policy, known, declared)
+            out += magic_strings(path, text, policy)
             if language == "php":
-                out += entity_names(path, text, policy, known)
+                out += entity_names(path, text, policy)
             out += network(path, text)
             out += environment(path, text, language, policy)
-            out += [(path, no, "literal", value, "", "", "", "") for value, no in literals(path, text, policy, declared)]
+            out += [(path, no, "literal", value, "", "", "", "") for value, no in literals(path, text, policy)]
         return out
 
     return map_rows(files.filter(F.col("language").isin(*LANGUAGES)).select("path", "language", "content"), run, FINDING)
@@ -196,8 +191,13 @@ def repeated_literals(found: DataFrame, policy: HardwiringPolicy | None = None,
 
 
 def hardwiring(files: DataFrame, symbols: DataFrame, contracts: DataFrame, policy: HardwiringPolicy | None = None, min_occurrences: int = 3) -> DataFrame:
-    """All findings. contracts: (category, value)."""
-    names = {r.value for r in entity_types(files, symbols).toLocalIterator()}
-    declared = {r.value for r in contracts.select("value").distinct().toLocalIterator()}
-    rows = scan(files, names, declared, policy)
+    """All findings. contracts: (category, value). What is declared is taken out by joins, of which Spark broadcasts the small side by its size."""
+    names = entity_types(files, symbols)
+    rows = scan(files, policy).withColumn("_value", T.strip(F.col("value")))
+    entity = rows.filter("category = 'hardcoded_entity'").join(names, "value", "left_semi")
+    other = rows.filter("category <> 'hardcoded_entity'")
+    magic = F.col("category") == "magic_string"
+    open_ = other.filter(F.col("category").isin("magic_string", "literal")).join(contracts.select(F.col("value").alias("_value")).distinct(), "_value", "left_anti")
+    open_ = open_.filter(~magic).unionByName(open_.filter(magic).join(names.select(F.col("value").alias("_value")), "_value", "left_anti").select(*open_.columns))
+    rows = other.filter(~F.col("category").isin("magic_string", "literal")).unionByName(entity.select(*rows.columns)).unionByName(open_.select(*rows.columns)).drop("_value")
     return rows.filter("category <> 'literal'").unionByName(repeated_literals(rows.filter("category = 'literal'"), policy, min_occurrences))

@@ -110,10 +110,13 @@ def resolve(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, alias
     deps = dependencies.select("dep_id", F.col("source_file_id").alias("file_id"), F.col("target_name").alias("target"), "type").join(names.select("file_id", F.col("path").alias("src")), "file_id").join(spaces, "file_id", "left")
     wanted = candidates(deps, aliases)
     endings = wanted.filter("`table` = 'ending'").select("key").distinct()
-    # an ending need not begin at a slash: join on the file name's own ending first, then compare whole endings
-    ending = endings.withColumn("name", T.file_name(F.col("key"))).withColumn("tail", F.right(F.col("key"), F.lit(8)))
-    paths = names.select("path")
-    ends = ending.join(paths.withColumn("tail", F.right(F.col("path"), F.lit(8))), "tail").filter(F.col("path").endswith(F.col("key"))).select("key", "path")
+    paths = names.select("path").withColumn("name", T.file_name(F.col("path")))
+    # an ending need not begin at a slash. One with a slash ends in a whole file name, which is joined on; for the others, names are
+    # compared by up to 8 of their last signs, and then in full
+    deep = endings.filter(F.contains("key", F.lit("/"))).withColumn("name", T.file_name(F.col("key"))).join(paths, "name").filter(F.col("path").endswith(F.col("key"))).select("key", "path")
+    tails = paths.select("name").distinct().select("name", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(8))), lambda k: F.right(F.col("name"), k))).alias("tail"))
+    flat = endings.filter(~F.contains("key", F.lit("/"))).withColumn("tail", F.right(F.col("key"), F.lit(8))).join(tails, "tail").filter(F.col("name").endswith(F.col("key"))).select("key", "name")
+    ends = deep.union(flat.join(paths, "name").select("key", "path"))
     tables = {
         "symbol": symbol_keys(files, symbols),
         "module": paths.select(module_name(F.col("path")).alias("key"), "path").filter("key is not null"),

@@ -111,10 +111,10 @@ def test_resolve_python_and_php(spark):
     got = edge_set(spark, {
         "pkg/base.py": "class BaseThing: pass\n", "pkg/service.py": "from pkg.base import BaseThing\n", "pkg/deep.py": "import pkg.base.BaseThing.nested\n",
         "wp-admin/includes/class-wp-health.php": "<?php\nclass Health {}\n", "wp-admin/health.php": "<?php\nrequire 'wp-admin/includes/class-wp-health.php';\n",
-        "app/A.php": "<?php\nnamespace App;\nclass Alpha {}\n", "app/B.php": "<?php\nuse App\\Alpha;\nclass Beta {}\n", "lib/C.php": "<?php\ninclude 'sub/only-here.php';\n", "lib/sub/only-here.php": "<?php\n",
+        "app/A.php": "<?php\nnamespace App;\nclass Alpha {}\n", "app/B.php": "<?php\nuse App\\Alpha;\nclass Beta {}\n", "lib/C.php": "<?php\ninclude 'sub/only-here.php';\n", "lib/sub/only-here.php": "<?php\n", "lib/D.php": "<?php\ninclude 'nly.php';\n", "z/only.php": "<?php\n",
         "one/Twin.php": "<?php\nclass Twin {}\n", "two/Twin.php": "<?php\nclass Twin {}\n", "use.php": "<?php\nuse Twin;\n",
     })
-    assert got == {("pkg/service.py", "pkg/base.py"), ("pkg/deep.py", "pkg/base.py"), ("wp-admin/health.php", "wp-admin/includes/class-wp-health.php"), ("app/B.php", "app/A.php"), ("lib/C.php", "lib/sub/only-here.php")}
+    assert got == {("pkg/service.py", "pkg/base.py"), ("pkg/deep.py", "pkg/base.py"), ("wp-admin/health.php", "wp-admin/includes/class-wp-health.php"), ("app/B.php", "app/A.php"), ("lib/C.php", "lib/sub/only-here.php"), ("lib/D.php", "z/only.php")}
 
 
 def test_resolve_ruby_and_web(spark):

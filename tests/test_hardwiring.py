@@ -12,8 +12,8 @@ def env(path, text, language):
     return [x[3] for x in H.environment(path, text, language, BASE)]
 
 
-def magic(path, text, contracts=()):
-    return {(x[3], x[6]) for x in H.magic_strings(path, text, BASE, set(), set(contracts))}
+def magic(path, text):
+    return {(x[3], x[6]) for x in H.magic_strings(path, text, BASE)}
 
 
 def net(path, text):
@@ -49,7 +49,6 @@ def test_magic(text, expected):
 
 def test_magic_context_and_contracts():
     assert magic("src/a.php", "switch ($fieldType) {\ncase 'special-one':") == set()
-    assert magic("src/a.php", "case 'auto-draft':", {"auto-draft"}) == set()
     assert magic("a/assets/x.js", "x === 'editing'") == set()
     assert magic("Gruntfile.js", "x === 'watch:php'") == set()
 
@@ -64,13 +63,13 @@ def test_script_only():
 
 
 def test_entities():
-    rows = list(H.entity_names("app/a.php", "if ($entityType === 'Order') {}\n$x = 'Order';\n'label' => 'Order', $entityType = 'Order';\nconst A = 'Order';\n$q = \"SELECT 'Order'\"; // entityType\n", BASE, {"Order"}))
-    assert [(r[1], r[3]) for r in rows] == [(1, "Order")]
-    assert not list(H.entity_names("app/Entities/a.php", "$entityType === 'Order'", BASE, {"Order"}))
+    rows = list(H.entity_names("app/a.php", "if ($entityType === 'Order') {}\n$x = 'Order';\n'label' => 'Order', $entityType = 'Order';\nconst A = 'Order';\n$q = \"SELECT 'Order'\"; // entityType\n", BASE))
+    assert [(r[1], r[3]) for r in rows] == [(1, "Order")] and not list(H.entity_names("a.php", "$x = 'Order';", BASE))
+    assert not list(H.entity_names("app/Entities/a.php", "$entityType === 'Order'", BASE))
 
 
 def test_whole(spark):
-    tree = {f"d{i}/f.py": f"a = 'acme:topic.created'\nb = '/api/v{i % 1}/orders'\nc = 'utf-8'\nd = ':memory:'\n" for i in range(4)} | {"app/Entities/Order.php": "<?php\nclass Order {}\n", "app/x.php": "<?php\nif ($entityType == 'Order') {}\nadd_action('init', 'f'); if ($x == 'init') {}\n"}
+    tree = {f"d{i}/f.py": f"a = 'acme:topic.created'\nb = '/api/v{i % 1}/orders'\nc = 'utf-8'\nd = ':memory:'\n" for i in range(4)} | {"app/Entities/Order.php": "<?php\nclass Order {}\n", "app/x.php": "<?php\nif ($entityType == 'Order') {}\nadd_action('init', 'f'); if ($x == 'init') {} if ($x == 'Order') {}\n"}
     files, symbols, _ = code_base(spark, tree)
     contracts = C.lookup(C.scan(files))
     got = {(r.category, r.value): r for r in H.hardwiring(files, symbols, contracts).collect()}
