@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from codequarry.llm._text import slices
 from codequarry.session import ship
 
-ERROR_RATE, PART_CHARS = 0.05, 8_000_000
+ERROR_RATE, PART_CHARS = 0.08, 8_000_000
 
 
 def normal(text: str) -> str:

@@ -116,7 +116,7 @@ def test_contaminated(spark):
     texts = {}
     for d in range(60):
         i = rng.randrange(12)
-        edits = rng.randint(0, int(0.08 * len(items[i])))
+        edits = rng.randint(0, int(0.12 * len(items[i])))
         texts[d] = f"{sentence(rng, 30)} {damage(rng, items[i], edits)}  {sentence(rng, 20)}".replace(" ", "\n " if d % 5 == 0 else " ")
     texts |= {70: sentence(rng, 400)} | ODD
     bench = spark.createDataFrame([(k, v, "clash") for k, v in items.items()], "item_id long, text string, doc_id string")
@@ -128,7 +128,7 @@ def test_contaminated(spark):
             p = decontaminate.normal(item or "")
             if t and any(c.isalnum() for c in p) and len(t) < 5000:
                 x = brute_distance(p, decontaminate.normal(t))
-                if x <= int(0.05 * len(p)):
+                if x <= int(decontaminate.ERROR_RATE * len(p)):
                     want[d, i] = x
     assert got == want and len(want) > 20
     parts = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(df, bench, part_chars=500).collect()}
