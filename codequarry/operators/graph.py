@@ -283,25 +283,64 @@ def brandes(source: str, out: dict[str, list[tuple[str, float]]]) -> dict[str, f
     return delta
 
 
-def betweenness(files: DataFrame, edges: DataFrame, top: int = 20, exact_up_to: int = 5000, seed: int = 42) -> DataFrame:
+def _sweep(links: DataFrame, start: DataFrame, value: Column) -> DataFrame:
+    """(s, v, x) along the acyclic links (s, u, v, ...): x of a node is the sum of `value`, made of its predecessors' x, once all have theirs.
+
+    start (s, v, x): the nodes without predecessors, and their x; what they send counts from there.
+    """
+    need = checkpoint(links.groupBy("s", "v").agg(F.count("*").alias("need")))
+    done = front = checkpoint(start)
+    got = None
+    while front.limit(1).count():
+        sent = front.withColumnRenamed("v", "u").withColumnRenamed("x", "xu").join(links, ["s", "u"]).select("s", "v", value.alias("part"))
+        more = sent.groupBy("s", "v").agg(F.sum("part").alias("x"), F.count("*").alias("have"))
+        got = more if got is None else got.unionByName(more).groupBy("s", "v").agg(F.sum("x").alias("x"), F.sum("have").alias("have"))
+        got = checkpoint(got)
+        front = checkpoint(got.join(need, ["s", "v"]).filter("have = need").select("s", "v", "x"))
+        got = got.join(front.select("s", "v"), ["s", "v"], "left_anti")
+        done = checkpoint(done.unionByName(front))
+    return done
+
+
+def dependencies_by_rounds(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, part): what brandes() sums up, for all sources at once, by joins; for graphs of any size."""
+    e = checkpoint(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").cast("double").alias("w")).filter("u <> v"))
+    best = front = checkpoint(sources.select(F.col("path").alias("s"), F.col("path").alias("v"), F.lit(0.0).alias("d")))
+    while front.limit(1).count():
+        new = front.withColumnRenamed("v", "u").join(e, "u").groupBy("s", "v").agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        front = checkpoint(new.join(best.withColumnRenamed("d", "old"), ["s", "v"], "left").filter("old is null or d < old").select("s", "v", "d"))
+        best = checkpoint(best.join(front.select("s", "v"), ["s", "v"], "left_anti").unionByName(front))
+    tight = best.withColumnRenamed("v", "u").withColumnRenamed("d", "du").join(e, "u").join(best, ["s", "v"]).filter("du + w = d").select("s", "u", "v")
+    tight = checkpoint(tight)
+    sigma = _sweep(tight, best.filter("s = v").select("s", "v", F.lit(1.0).alias("x")), F.col("xu"))
+    back = tight.join(sigma.toDF("s", "u", "su"), ["s", "u"]).join(sigma.toDF("s", "v", "sv"), ["s", "v"]).select("s", F.col("v").alias("u"), F.col("u").alias("v"), "su", "sv")
+    back = checkpoint(back)
+    leaves = best.join(back.select("s", "v").distinct(), ["s", "v"], "left_anti").select("s", "v", F.lit(0.0).alias("x"))
+    delta = _sweep(back, leaves, F.col("su") / F.col("sv") * (1 + F.col("xu")))
+    return delta.filter("s <> v and x > 0").select(F.col("v").alias("path"), F.col("x").alias("part"))
+
+
+def betweenness(files: DataFrame, edges: DataFrame, top: int = 20, exact_up_to: int = 5000, seed: int = 42, adjacency_up_to: int = 5_000_000) -> DataFrame:
     """(path, score): the files most shortest paths run through, normalised, to 4 places; the weight of an edge is its length.
 
-    Sources are spread over tasks and each needs the whole adjacency, which is broadcast: a file graph of a code base, by definition one
-    machine's. Beyond exact_up_to nodes a seeded sample of min(500, max(100, sqrt(n))) sources stands for all.
+    Sources are spread over tasks, each of which has the whole adjacency, up to adjacency_up_to edges; beyond that joins do the same by
+    rounds. Beyond exact_up_to nodes a seeded sample of min(500, max(100, sqrt(n))) sources stands for all.
     """
     spark = edges.sparkSession
     ship(spark)
     n = files.count()
     if n < 3:
         return files.select("path", F.lit(0.0).alias("score")).limit(0)
-    out: dict[str, list[tuple[str, float]]] = {}
-    for r in edges.select("src", "dst", "weight").toLocalIterator():
-        out.setdefault(r.src, []).append((r.dst, float(r.weight)))
-    shared = spark.sparkContext.broadcast({k: sorted(v) for k, v in out.items()})
     sources, share = files.select("path"), 1.0
     if n > exact_up_to:
         k = min(500, max(100, math.isqrt(n)))
         sources, share = sources.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(k), k / n
+    if edges.count() > adjacency_up_to:
+        return _scored(dependencies_by_rounds(sources, edges), n, share, top)
+    out: dict[str, list[tuple[str, float]]] = {}
+    for r in edges.select("src", "dst", "weight").toLocalIterator():
+        out.setdefault(r.src, []).append((r.dst, float(r.weight)))
+    shared = spark.sparkContext.broadcast({k: sorted(v) for k, v in out.items()})
 
     def run(rows: Iterable[tuple[str]]) -> list[tuple[str, float]]:
         total: dict[str, float] = {}
@@ -311,6 +350,10 @@ def betweenness(files: DataFrame, edges: DataFrame, top: int = 20, exact_up_to:
                     total[v] = total.get(v, 0.0) + d
         return list(total.items())
 
-    sums = map_rows(sources.repartition(spark.sparkContext.defaultParallelism), run, "path string, part double", whole=True).groupBy("path").agg(F.sum("part").alias("total"))
+    return _scored(map_rows(sources.repartition(spark.sparkContext.defaultParallelism), run, "path string, part double", whole=True), n, share, top)
+
+
+def _scored(parts: DataFrame, n: int, share: float, top: int) -> DataFrame:
+    sums = parts.groupBy("path").agg(F.sum("part").alias("total"))
     scored = sums.select("path", F.bround(F.round(F.col("total") / share / ((n - 1) * (n - 2)), 12), 4).alias("score"), "total").filter("total > 0")
     return scored.orderBy(F.desc("total"), "path").limit(top).select("path", "score")

@@ -93,6 +93,10 @@ def test_betweenness(spark):
     # by hand: c lies between a, b, e and d; b and e each carry half of a's ways to c and to d
     assert got == {"c": 0.25, "b": 0.0833, "e": 0.0833}
     assert G.betweenness(files.limit(2), e).count() == 0
+    rng = random.Random(3)
+    many = [(f"n{rng.randrange(14):02d}", f"n{rng.randrange(14):02d}") for _ in range(60)]
+    e, files = edges(spark, many), spark.createDataFrame([(f"n{i:02d}",) for i in range(14)], "path string")
+    assert rows(G.betweenness(files, e), "path", "score") == rows(G.betweenness(files, e, adjacency_up_to=0), "path", "score")
 
 
 def test_layer_violations(spark):
