@@ -33,7 +33,7 @@ def line_at(lines: list[str], no: int) -> str:
     return lines[no - 1] if 0 < no <= len(lines) else ""
 
 
-# -- imports ------------------------------------------------------------------------------------------------------------
+# imports
 
 _PREAMBLE = ("#[", "*", "/*", "//", "<?", "declare(", "namespace ", "use ")
 
@@ -111,7 +111,7 @@ def web_imports(path: str, content: str, language: str) -> Iterator[tuple]:
             yield path, line + offset, "unused_import", name, f"Import '{name}' from '{source}' is never referenced", "medium" if language == "vue" else "high"
 
 
-# -- private members ------------------------------------------------------------------------------------------------------
+# private members
 
 
 def _elsewhere(content: str, patterns: list[str], declared: int) -> bool:
@@ -172,7 +172,7 @@ def in_file(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, polic
     return map_rows(rows.select("path", "language", "content", "imports", "members"), run, FINDING)
 
 
-# -- classes ----------------------------------------------------------------------------------------------------------------
+# classes
 
 ENTRY_DIRS = "Actions Casts Commands Console Controllers Entities Events Exceptions Hooks Jobs Listeners Mail Middleware Models Notifications Observers Policies Providers Rules Tests bootstrap controllers factories hooks migrations seeders tests"
 DYNAMIC_GLOBS = ["**/*ServiceProvider.php", "**/*.hook.php", "**/*.hooks.php", "**/Manifest.php", "**/Module.php", "**/bootstrap/**/*.php", "**/manifest.php", "**/module.php", "**/routes/**/*.php"]

@@ -31,7 +31,7 @@ def of_domain(findings: DataFrame, domain: str = "security") -> DataFrame:
     return findings.filter(F.col("domain") == domain)
 
 
-# -- rules ------------------------------------------------------------------------------------------------------------------
+# rules
 
 SEED_RULES = [
     ("seed-sp-inherit", "abandoned_class", [("inherits", {"ancestor": "ServiceProvider"})], "Service providers are discovered at run time"),
@@ -156,7 +156,7 @@ def append_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
     return rules.unionByName(add.drop("_key"), allowMissingColumns=True)
 
 
-# -- review -----------------------------------------------------------------------------------------------------------------
+# review
 
 
 def stratified_sample(findings: DataFrame, per_category: int = 20, directory: Column | None = None, order: list[str] = ("file_path", "line"), seed: int = 42) -> DataFrame:
@@ -191,7 +191,7 @@ def rules_from_verdicts(verdicts: DataFrame) -> DataFrame:
     return wrong.select(F.concat(F.lit("rule-"), F.left(F.md5(F.concat_ws(":", "category", "file_path", name)), F.lit(8))).alias("id"), "category", checks.alias("checks"), "reason", F.lit("ai").alias("created_by"), F.lit("").alias("created_at"), F.lit("probationary").alias("status"), F.lit(0).alias("hit_count"), F.lit("").alias("last_hit_run"), F.lit(0).alias("miss_streak")).dropDuplicates(["id"])
 
 
-# -- summaries --------------------------------------------------------------------------------------------------------------
+# summaries
 
 SCORE = {"cycles": 40.0, "violations": 12.0, "dead_code": 3.0, "hardwiring": 1.0, "orphans": 2.0, "god_classes": 5.0}
 

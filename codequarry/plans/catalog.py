@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-# -- adapters ---------------------------------------------------------------------------------------------------------------
+# adapters
 
 _LAYER = {"ECONOMY": "views", "STANDARD": "controllers", "SMALL": "services", "MEDIUM": "repositories", "LARGE": "models"}
 
@@ -114,7 +114,7 @@ _FINDINGS = """findings AS (SELECT doc_id AS finding_id, source || '/' || lang |
   CASE n_chars % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM documents)"""
 
 
-# -- index ------------------------------------------------------------------------------------------------------------------
+# index
 
 
 @query("SELECT lang AS language, count(*) AS n FROM documents GROUP BY lang")
@@ -159,7 +159,7 @@ def envelopes_by_layer(spark: SparkSession, d: str) -> DataFrame:
     return items.select("layer", F.size("items").cast("long").alias("n"), F.md5(F.array_join(F.transform("items", lambda x: x["path"]), ",")).alias("paths"))
 
 
-# -- graph ------------------------------------------------------------------------------------------------------------------
+# graph
 
 
 @query(f"WITH {_edges()} SELECT * FROM edges")
@@ -228,7 +228,7 @@ def betweenness_topk(spark: SparkSession, d: str) -> DataFrame:
     return G.betweenness(part_files(spark, d), part_edges(spark, d))
 
 
-# -- resolving --------------------------------------------------------------------------------------------------------------
+# resolving
 
 _WORD2 = "split_part(p_name, ' ', 2)"
 
@@ -300,7 +300,7 @@ def stale_row_guard(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(text_lines(spark, d).select("file_id", F.col("no").cast("long").alias("no"), "line"), ["file_id", "no"]).filter(F.expr("contains(line, name)")).select("file_id", "name", F.col("no").alias("line"))
 
 
-# -- texts ------------------------------------------------------------------------------------------------------------------
+# texts
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -344,7 +344,7 @@ def script_mask(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("page_id").agg(F.count("*").alias("parts"), F.count_if((F.col("inside") == 1) & F.col("mark").isNull()).alias("in_script"))
 
 
-# -- findings ---------------------------------------------------------------------------------------------------------------
+# findings
 
 
 @query(f"WITH {_FINDINGS} SELECT finding_id, category, confidence FROM findings WHERE confidence IN ('medium', 'high') AND category IN ('magic_string', 'unused_import')")

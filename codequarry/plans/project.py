@@ -65,8 +65,8 @@ class Project:
         own = Path(self.output) / "policy.json"
         files = [load_patch(str(own))] if own.exists() else []
         files += [load_patch(f) for f in self.policy_files]
-        first = resolve_policy(paths, self.profiles, project=Path(self.root).name)
-        return resolve_policy(paths, self.profiles, [*P.policy_patches(self.plugins, self.root, first.plugins_applied), *files, *extra], Path(self.root).name)
+        first = resolve_policy(paths, self.profiles)
+        return resolve_policy(paths, self.profiles, [*P.policy_patches(self.plugins, self.root, first.plugins_applied), *files, *extra])
 
     def graph(self, policy: Policy) -> dict[str, DataFrame]:
         files, symbols, deps, envelopes = (self.store.read(t) for t in ("files", "symbols", "dependencies", "envelopes"))

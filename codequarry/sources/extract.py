@@ -37,7 +37,7 @@ class Found:
             self.deps.append((type_, target, line))
 
 
-# -- Python -----------------------------------------------------------------------------------------------------------------
+# Python
 
 
 def python_module(path: str) -> tuple[str, str]:
@@ -110,7 +110,7 @@ def python(path: str, content: str) -> Found:
     return out
 
 
-# -- PHP --------------------------------------------------------------------------------------------------------------------
+# PHP
 
 _NAMES = r"\\?[A-Za-z_][\w\\]*"
 _PHP_TYPE = re.compile(rf"(?<![\w$>:])(?:(?:abstract|final|readonly)\s+)*(class|interface|trait|enum)\s+([A-Za-z_]\w*)([^{{;]*)\{{")
@@ -231,7 +231,7 @@ def php(path: str, content: str) -> Found:
     return out
 
 
-# -- Ruby -------------------------------------------------------------------------------------------------------------------
+# Ruby
 
 _CONSTANT = r"(?:::)?[A-Z]\w*(?:::[A-Z]\w*)*"
 _RUBY_OPEN = re.compile(r"^\s*(?:begin|case|class|def|for|if|module|unless|until|while)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$|=\s*(?:if|case|begin|unless)\b")
@@ -288,7 +288,7 @@ def ruby(path: str, content: str) -> Found:
     return out
 
 
-# -- Rust -------------------------------------------------------------------------------------------------------------------
+# Rust
 
 _RUST_ITEM = re.compile(r"(?<!\w)(pub(?:\s*\([^)]*\))?\s+)?(?:(?:async|const|default|extern|unsafe)\s+)*(mod|struct|enum|trait|impl|fn)\b\s*(<[^{;(]*?>)?\s*([A-Za-z_]\w*)?")
 _RUST_FIELD = re.compile(r"(?:^|(?<=[,{]))\s*(?:\#\[[^\]]*\]\s*)*(pub(?:\s*\([^)]*\))?\s+)?([a-z_]\w*)\s*:(?!:)", re.M)
@@ -352,7 +352,7 @@ def rust(path: str, content: str) -> Found:
     return out
 
 
-# -- TypeScript, JavaScript, single-file components ----------------------------------------------------------------------------
+# TypeScript, JavaScript, single-file components
 
 _WEB_DECLARED = re.compile(r"(?<![\w$.])(?:(?:abstract|async|declare|default|export)\s+)*(class|function\b\s*\*?)\s*([A-Za-z_$][\w$]*)")
 _WEB_EXPORT = re.compile(r"""(?m)^\s*export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*(["'])([^"'\n]+)\1""")
