@@ -142,11 +142,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of links (a, b), each text of a going to the leader b's place; large stars are spread over salts."""
+    """(a, b, similarity) of links (a, b), each text of a going to the leader b's place; large stars are spread over salts.
+
+    Merge joins whatever the size: the work is in proportion to the texts of linked documents.
+    """
     size = F.count("*").over(Window.partitionBy("b"))
     salted = links.select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), F.pmod(F.xxhash64("a"), F.ceil(size / 500)).alias("salt"))
-    rows = checkpoint(salted.union(salted.select(F.col("leader"), F.col("leader"), F.col("salt")).distinct()))
-    texts = docs.join(rows, "doc_id").select("leader", "salt", "doc_id", "text")
+    rows = write_shared(salted.union(salted.select(F.col("leader"), F.col("leader"), F.col("salt")).distinct()), "pairs")
+    texts = docs.join(rows.hint("merge"), "doc_id").select("leader", "salt", "doc_id", "text")
     texts = texts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("doc_id") != F.col("leader"), "doc_id")
     return texts.mapInArrow(_verify, "a long, b long, similarity double")
 
@@ -165,6 +168,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     )
     links = inside.filter("doc_id > leader").select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("leader", F.coalesce("previous", "leader")))).alias("b")).filter("a <> b")
     links = write_shared(links.groupBy("a", "b").agg(F.count("*").alias("votes")), "links")
+    linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    docs = write_shared(docs.join(linked.hint("merge"), "doc_id", "left_semi"), "linked")  # the corpus is moved once, later rounds move linked texts alone
     best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
     done, labels = None, None
     for step in range(3):  # the likeliest link of each document, again for those not joined yet, then all others
