@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: What this process wrote below the shared folder.
+_MADE: list[str] = []
+
+
+def clean() -> None:
+    """Delete the scratch tables of this process. Results that still read them must be gone; at the end of the process they are."""
+    while _MADE:
+        uri = _MADE.pop()
+        try:
+            system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+            system.delete_dir(path)
+        except (OSError, pa.ArrowException):  # already gone, or a file system that only the JVM knows
+            continue
+
+
+atexit.register(clean)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from the folder the driver uses."""
     env = spark.sparkContext.environment
@@ -30,7 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(path)
         return path
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"file:///tmp/codequarry-{os.getpid()}")
+        own = f"file:///tmp/codequarry-{os.getpid()}"
+        sc.setCheckpointDir(own)
+        _MADE.append(own)
     return sc.getCheckpointDir()
 
 
@@ -41,8 +63,10 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
