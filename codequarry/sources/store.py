@@ -130,6 +130,16 @@ class Index:
             fs, p = self._fs(old)
             fs.delete(p, True)
 
+    def file(self, path: str) -> DataFrame:
+        return self.read("files").filter(F.col("path") == path)
+
+    def symbols_in(self, path: str) -> DataFrame:
+        """By line; in bulk, join on file_id instead."""
+        return self.read("symbols").join(self.file(path).select("file_id"), "file_id", "left_semi").orderBy("line_start")
+
+    def dependencies_in(self, path: str) -> DataFrame:
+        return self.read("dependencies").join(self.file(path).select(F.col("file_id").alias("source_file_id")), "source_file_id", "left_semi").orderBy("line")
+
     def append_metrics(self, run_id: str, values: dict[str, str]) -> None:
         self.spark.createDataFrame([(run_id, k, v) for k, v in values.items()], METRICS).write.mode("append").parquet(f"{self.folder}/metrics")
 

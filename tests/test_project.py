@@ -122,6 +122,26 @@ def test_built_in_plugins(spark):
     assert out("django") == {("app/x.py",), ("src/wp-admin/a.php",), ("a.php",)} and out("wordpress") == {("app/x.py",), ("docs/x.py",), ("django/core/management/x.py",)}
 
 
+def test_prompts(spark):
+    from codequarry.plans import prompts as M
+
+    def broken(_):
+        raise OSError
+
+    assert M.ask([broken, lambda p: None, lambda p: p + "!"], "x") == "x!" and M.ask([], "x") is None
+    lines = ['{"type": "item.completed", "item": {"type": "agent_message", "text": "hi"}}', '{"type": "item.started"}', "junk"]
+    assert [r.text for r in M.agent_messages(spark.createDataFrame([(x,) for x in lines], "payload string")).collect()] == ["hi"]
+    answer = "Sure:\n```json\n{\"verdicts\": [{\"index\": 1, \"verdict\": \"false_positive\", \"reason\": \"r\"}]}\n```\n"
+    found = [{"file_path": "a", "line": 1, "category": "c", "name": "n", "value": None}, {"file_path": "b", "line": 2, "category": "c", "name": "m", "value": None}]
+    assert [v["verdict"] for v in M.read_verdicts(answer, found)] == ["needs_context", "false_positive"] and M.read_object("no") is None
+    got = spark.createDataFrame([(answer,), ("none",)], "t string").select(M.json_object(F.col("t"))).collect()
+    assert json.loads(got[0][0])["verdicts"][0]["index"] == 1 and got[1][0] is None
+    assert {k: len(v) for k, v in M.triage(found, M.reviewer([lambda p: answer])).items()} == {"actionable": 0, "accepted_noise": 1, "needs_context": 1}
+    assert M.policy_proposer([lambda p: '{"graph": {}}'])({}) == {"graph": {}} and M.policy_proposer([])({}) == {}
+    g = {"circular_dependencies": list(range(50))}
+    assert "[" + ", ".join(map(str, range(20))) + "]" in M.synthesis_prompt({"graph_analysis": g, "metrics": {}})
+
+
 def test_health_and_recommendations():
     assert [W.health(*x) for x in ((0, 0, 0, False), (0, 0, 0, True), (1, 0, 0, False), (4, 0, 0, True))] == ["healthy", "partial coverage", "needs attention", "critical (partial coverage)"]
     g = {k: [] for k in ("circular_dependencies", "god_classes", "bottleneck_files", "orphan_files", "runtime_entry_candidates")}
