@@ -3,8 +3,9 @@
 A document is a sequence of words (parted by ASCII white space). A passage of `length` words or more repeats if it also occurs in
 another document.
 
-1. Anchors: of each `length` consecutive words, the least hash of ANCHOR consecutive ones (winnowing). Two occurrences of a
-   passage share their anchors, so a passage can only repeat where an anchor occurs in two documents.
+1. Anchors: of each `length` consecutive words, the least hash of anchor_words(length) consecutive ones (winnowing). Two occurrences of a
+   passage share their anchors, so a passage can only repeat where an anchor occurs in two documents. An anchor has two fifths of the
+   words of a passage, so that short formulas which many documents share make no bucket of unlike contexts.
 2. Contexts: all words that a passage of `length` words around such an anchor may take. Equal contexts of one anchor become one, with
    the least and the greatest of their documents.
 3. The contexts that share an anchor meet in one bucket, where the Burrows-Wheeler transform of the collection of all contexts
@@ -31,14 +32,18 @@ from pyspark.sql import functions as F
 from codequarry.llm._text import U64, Words, slices, slide
 from codequarry.session import ship, write_shared
 
-LENGTH, ANCHOR, BUCKET_SYMBOLS = 50, 8, 400_000
+LENGTH, BUCKET_SYMBOLS = 50, 400_000
 _TOP = 2**64 - 1
 
 
+def anchor_words(length: int) -> int:
+    return max(1, 2 * length // 5)
+
+
 def anchors(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (among all words) of the anchors, and the hashes from every position on."""
-    grams, _ = words.grams(ANCHOR)
-    width = length - ANCHOR + 1
+    grams, _ = words.grams(anchor_words(length))
+    width = length - anchor_words(length) + 1
     least = slide(grams, width, np.minimum, _TOP)
     total = len(grams)
     least[np.arange(total) + length > words.bounds[1:][words.doc]] = 0  # no whole passage begins here
@@ -59,7 +64,7 @@ def _anchors(length: int):
 
 
 def _contexts(length: int):
-    before, after = length - ANCHOR, length
+    before, after = length - anchor_words(length), length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +75,7 @@ def _contexts(length: int):
                 row = np.repeat(np.arange(part.num_rows), np.diff(places.offsets.to_numpy()))
                 flat = places.flatten()
                 place, anchor = flat.field("place").to_numpy().astype(np.int64), flat.field("anchor")
-                use = place + ANCHOR <= words.count[row]
+                use = place + anchor_words(length) <= words.count[row]
                 row, place, anchor = row[use], place[use], anchor.filter(pa.array(use))
                 first = np.maximum(place - before, 0)
                 last = np.minimum(place + after, words.count[row])
