@@ -94,6 +94,15 @@ class Words:
         np.cumsum(_BYTE[self.data] * _powers(_BASE, n), out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * _powers(_INV, n + 1)[self.start] + (self.end - self.start).astype(U64))
 
+    def without_digits(self) -> Words:
+        """The words that hold no digit: numbers, keys and names with numbers aren't language."""
+        digits = np.concatenate([[0], np.cumsum((self.data >= 48) & (self.data <= 57))])
+        use = digits[self.end] == digits[self.start]
+        self.start, self.end, self.doc, self.hash = self.start[use], self.end[use], self.doc[use], self.hash[use]
+        self.bounds = np.searchsorted(self.start, self.offsets)
+        self.count = np.diff(self.bounds)
+        return self
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each position on, and whether they lie in one text."""
         w, total = self.hash, len(self.hash)

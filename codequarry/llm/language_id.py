@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm._text import Words, slices
+from codequarry.llm._text import NON_WORD, Words, slices
 from codequarry.session import ship
 
 SAMPLE, SHARE, BITS, GRAM, ROUNDS = 300, 0.5, 16, 4, 12
-#: Letters only: digits, punctuation and white space part words.
-_LETTERS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+
+
+def language_words(column: pa.Array) -> Words:
+    """Words of letters; what holds a digit is left out."""
+    return Words(column, NON_WORD, lower=True).without_digits()
 
 
 def ngrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +57,7 @@ def _count(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         total = np.zeros((len(languages), 1 << BITS), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                words = Words(part.column("text"), _LETTERS, lower=True)
+                words = language_words(part.column("text"))
                 gram, word = ngrams(words)
                 place = np.array([languages.index(x) for x in part.column("lang").to_pylist()], np.int64)
                 total += np.bincount(place[words.doc[word]] * (1 << BITS) + gram, minlength=total.size).reshape(total.shape)
@@ -138,7 +141,7 @@ def _infer(shared, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         languages, table = shared.value
         for batch in batches:
             for part in slices(batch, "text", 500_000):
-                words = Words(part.column("text"), _LETTERS, lower=True)
+                words = language_words(part.column("text"))
                 pi, score = mixtures(words, table)
                 main = pi.argmax(1) if len(languages) else np.zeros(words.rows, np.int64)
                 told = (pi.max(1) if len(languages) else np.zeros(words.rows)) > 0
@@ -174,7 +177,7 @@ def _filter(shared, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         _, table = shared.value
         for batch in batches:
             for part in slices(batch, "text", 500_000):
-                pi, _ = mixtures(Words(part.column("text"), _LETTERS, lower=True), table)
+                pi, _ = mixtures(language_words(part.column("text")), table)
                 yield part.filter(pa.array(pi.max(1, initial=0) >= share))
 
     return keep
