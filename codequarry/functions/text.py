@@ -78,11 +78,11 @@ def layer_of(path: Column, custom: dict[str, str] | None = None) -> Column:
     """Layer by the longest directory pattern in the path; unknown layers of custom patterns are ignored."""
     patterns = LAYER_DIRS | {k.lower(): v.lower() for k, v in (custom or {}).items() if v.lower() in LAYERS}
     inside = F.concat(F.lit("/"), F.lower(forward(path)), F.lit("/"))
-    out = None
-    for pattern, layer in sorted(patterns.items(), key=lambda x: -len(x[0])):
-        test = F.contains(inside, F.lit(f"/{pattern}/"))
-        out = F.when(test, layer) if out is None else out.when(test, layer)
-    return out.otherwise("unknown")
+    ordered = sorted(patterns, key=len, reverse=True)
+    # one small expression, which makes `inside` once; a CASE with a branch a pattern outgrows what generated code may hold
+    known = F.array(*(F.lit(f"/{p}/") for p in ordered))
+    found = F.transform(F.array(inside), lambda s: F.get(F.filter(known, lambda p: F.contains(s, p)), 0))[0]
+    return F.coalesce(F.create_map(*(F.lit(x) for p in ordered for x in (f"/{p}/", patterns[p])))[found], F.lit("unknown"))
 
 
 def layer_order(layer: Column) -> Column:

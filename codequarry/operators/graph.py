@@ -85,8 +85,7 @@ def layer_violations(edges: DataFrame, layers: DataFrame | None = None, custom:
         rows = rows.withColumn(f"{side}_layer", guess)
     if excludes:
         rows = rows.filter(~(T.matches_glob(F.col("src"), excludes) | T.matches_glob(F.col("dst"), excludes)))
-    low = T.layer_order(F.col("dst_layer"))
-    rows = rows.filter((low >= 0) & (T.layer_order(F.col("src_layer")) > low))
+    rows = rows.withColumn("_low", T.layer_order(F.col("dst_layer"))).withColumn("_high", T.layer_order(F.col("src_layer"))).filter("_low >= 0 and _high > _low")
     return rows.select(F.col("src").alias("source_file"), F.col("src_layer").alias("source_layer"), F.col("dst").alias("target_name"), F.col("dst_layer").alias("target_layer"), F.concat("src_layer", F.lit(" -> "), "dst_layer", F.lit(" (reversed dependency)")).alias("violation"))
 
 
