@@ -6,7 +6,8 @@ language is the product over its n-grams, and expectation-maximisation estimates
 whole; the least language goes as long as that improves the penalised likelihood (BIC: half of log(words) a proportion),
 so that a text in one language has one. Whole texts are used, all documents of a batch at once.
 
-A document is accepted if the words have letters at all and its main language explains at least `share` of it.
+A document is accepted if it has words at all and its main language explains at least `share` of them: texts with passages in other languages stay,
+what is scattered over many goes.
 
 Defined results: null, empty and letterless texts have no language (lang_id null, empty arrays, accepted false); rows
 without doc_id are kept, with doc_id null; repeated rows repeat; other columns are ignored. Equal proportions: the
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from codequarry.llm._text import NON_WORD, Words, slices
 from codequarry.session import ship
 
-SAMPLE, SHARE, BITS, GRAM, ROUNDS = 300, 0.5, 16, 4, 12
+SAMPLE, SHARE, BITS, GRAM, ROUNDS = 300, 0.3, 16, 4, 12
 
 
 def language_words(column: pa.Array) -> Words:
