@@ -73,3 +73,9 @@ def test_suffix_like(spark):
     names = spark.createDataFrame([("Foo", 1), ("b_r", 1), ("Own", 3)], "name string, file_id long")
     deps = spark.createDataFrame([("x\\aFOO", 2), ("zbar", 2), ("Own", 3)], "target_name string, source_file_id long")
     assert rows(D.suffix_referenced(names, deps), "name") == [("Foo",), ("b_r",)]
+
+
+def test_partitions_and_order_do_not_matter(spark):
+    files, symbols, deps = code_base(spark, {"src/lib.rs": RUST_LIB, "src/user.rs": "fn f() { let k: Kept; }\n", "a.php": "<?php\nuse A\\Gone;\nclass A {\n    private $idle;\n}\n", "b.py": "import os\n"})
+    one = rows(D.dead_code(files.repartition(1), symbols.repartition(1), deps), "category", "name", "line")
+    assert one == rows(D.dead_code(files.repartition(7).orderBy(F.desc("path")), symbols.repartition(5), deps.repartition(3)), "category", "name", "line") and len(one) == 8
