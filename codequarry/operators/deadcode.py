@@ -227,6 +227,7 @@ def suffix_referenced(names: DataFrame, dependencies: DataFrame) -> DataFrame:
     targets = dependencies.select(F.lower("target_name").alias("target"), "source_file_id").distinct()
     plain = names.filter(~F.contains("name", F.lit("_"))).withColumn("key", F.lower("name"))
     lengths = plain.select(F.length("key").alias("k")).distinct()
+    # broadcast: at most as many rows as the longest name has signs
     ends = targets.crossJoin(F.broadcast(lengths)).filter(F.length("target") >= F.col("k")).select(F.expr("right(target, k)").alias("key"), "source_file_id").distinct()
     hit = plain.join(ends, "key").filter("source_file_id <> file_id").select("name", "file_id")
     wild = names.filter(F.contains("name", F.lit("_"))).join(targets, F.expr("target like concat('%', replace(lower(name), '%', '\\\\%'))")).filter("source_file_id <> file_id").select("name", "file_id")
