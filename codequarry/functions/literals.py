@@ -120,7 +120,7 @@ def is_config(path: str) -> bool:
 
 def is_bootstrap(path: str) -> bool:
     p = forward(path).lower()
-    return p.startswith("bootstrap/") or name_of(path) in ("config.ru", "manage.py", "settings.py", "settings.py-tpl") or not {"bootstrap", "conf", "settings"}.isdisjoint(p.split("/"))
+    return p.startswith("bootstrap/") or name_of(path) in "config.ru manage.py settings.py settings.py-tpl".split() or not {"bootstrap", "conf", "settings"}.isdisjoint(p.split("/"))
 
 
 def is_command(path: str) -> bool:
@@ -263,6 +263,9 @@ def script_only(path: str, content: str) -> str:
     return "\n".join(out)
 
 
+_LINK_TEXTS = ["learn more", "read more", *"documentation esc_attr__( esc_html__( help support __( _e(".split()]
+
+
 def host_of(url: str) -> str:
     return re.sub("^[a-z]+://", "", url, flags=re.I).split("/")[0].split("?")[0].split("#")[0].lower()
 
@@ -276,7 +279,7 @@ def not_runtime(url: str, line: str, path: str) -> bool:
         return True
     if _IDENTIFIER.search(line) or _SHOWN.search(line) and not SINK.search(line):
         return True
-    return "<a href=" in low and any(w in low for w in ("__(", "_e(", "esc_html__(", "esc_attr__(", "help", "documentation", "support", "learn more", "read more"))
+    return "<a href=" in low and any(w in low for w in _LINK_TEXTS)
 
 
 def network_confidence(url: str, line: str) -> str:
@@ -285,7 +288,8 @@ def network_confidence(url: str, line: str) -> str:
     if _REGISTRY.search(line) or _HINT.search(line):
         return "low"
     host = host_of(url)
-    if host.endswith(".local") or "localhost" in host or "{" in url or "$" in url:
+    templated = not {"{", "$"}.isdisjoint(url)
+    if templated or "localhost" in host or host.endswith(".local"):
         return "high"
     return "low" if any(w in line.lower() for w in ("asset", "font", "href", "origin", "src")) else "medium"
 

@@ -53,7 +53,7 @@ def php_imports(path: str, content: str, imports: list[tuple[str, int]], implici
     lines, body = content.splitlines(), php_body(content)
     aliases = {m.group(1): m.group(2) for m in re.finditer(r"(?m)^\s*use\s+([\w\\]+)\s+as\s+(\w+)\s*;", content)}
     for target, no in imports:
-        short = target.rsplit("\\", 1)[-1]
+        *_, short = target.split("\\")
         name = aliases.get(target, short)
         word, line = re.escape(name), line_at(lines, no)
         if short in implicit or not (re.match(r"\s*use\s+[\w\\]+(?:\s+as\s+\w+)?\s*;", line) and re.search(rf"\b{word}\b", line)):
@@ -133,7 +133,7 @@ def private_member(path: str, content: str, language: str, kind: str, name: str,
             uses.append(rf"(?:\.\s*|::){word}\s*\(")
         if re.search(rf"\b(?:get|set)\s+{word}\b", line):
             uses += [rf"\bthis\.{word}\b", rf"->{word}\b"]
-        return None if _elsewhere(content, uses, no) else (path, no, "unused_method", name, f"Private method '{name}()' has no calls in the same file", "high")
+        return None if _elsewhere(content, uses, no) else (path, no, "unused_method", name, f"'{name}' is private and its file never calls it", "high")
     if language in WEB:
         declared, uses = rf"\b(?:private|protected|public|readonly|static)\b[^\n=;]*\b{word}\b|\#{word}\b", [rf"\bthis\.#?{word}\b"]
     elif language == "rust":
@@ -142,7 +142,7 @@ def private_member(path: str, content: str, language: str, kind: str, name: str,
         declared, uses = rf"\b(?:private|protected|public|readonly|static|var)\b[^\n;]*\${word}\b", [rf"->{word}\b", rf"\${word}\b"]
     if not re.search(declared, line) or _elsewhere(content, uses, no):
         return None
-    return path, no, "unused_property", name, f"Private property '${name}' not referenced beyond declaration", "medium"
+    return path, no, "unused_property", name, f"'{name}' is private and its file only declares it", "medium"
 
 
 def in_file(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, policy: DeadCodePolicy | None = None) -> DataFrame:
@@ -175,7 +175,7 @@ def in_file(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, polic
 # classes
 
 ENTRY_DIRS = "Actions Casts Commands Console Controllers Entities Events Exceptions Hooks Jobs Listeners Mail Middleware Models Notifications Observers Policies Providers Rules Tests bootstrap controllers factories hooks migrations seeders tests"
-DYNAMIC_GLOBS = ["**/*ServiceProvider.php", "**/*.hook.php", "**/*.hooks.php", "**/Manifest.php", "**/Module.php", "**/bootstrap/**/*.php", "**/manifest.php", "**/module.php", "**/routes/**/*.php"]
+DYNAMIC_GLOBS = "**/*ServiceProvider.php **/routes/**/*.php **/module.php **/manifest.php **/bootstrap/**/*.php **/Module.php **/Manifest.php **/*.hooks.php **/*.hook.php".split()
 _NAME, _PATH = "[A-Z][A-Za-z0-9_]*", r"[A-Z][A-Za-z0-9_]*(?:\\[A-Z][A-Za-z0-9_]*)+"
 
 
@@ -242,11 +242,11 @@ def abandoned_classes(files: DataFrame, symbols: DataFrame, dependencies: DataFr
     policy = policy or DeadCodePolicy()
     allowed = [x.strip().lower() for x in policy.abandoned_languages if x.strip()]
     home = files.select("file_id", "path", F.lower("language").alias("language"))
-    classes = symbols.filter("type in ('class', 'interface', 'trait', 'enum')").join(home, "file_id").filter(F.col("language").isin(*allowed) if allowed else F.lit(False))
+    classes = symbols.filter("type in ('enum', 'trait', 'interface', 'class')").join(home, "file_id").filter(F.col("language").isin(*allowed) if allowed else F.lit(False))
     full = F.when(F.coalesce(F.col("namespace"), F.lit("")) != "", F.concat("namespace", F.lit("\\"), "name")).otherwise(F.col("name"))
     classes = classes.select("symbol_id", "file_id", "path", "language", "type", "name", full.alias("full"), F.lower("visibility").alias("visibility"), "line_start")
     tokens = reference_tokens(files, policy.abandoned_dynamic_reference_patterns)
-    targets = dependencies.filter("type in ('import', 'inherit', 'implement', 'register')").select(F.col("target_name").alias("token"))
+    targets = dependencies.filter("type in ('register', 'implement', 'inherit', 'import')").select(F.col("target_name").alias("token"))
     known = classes.select(F.explode(F.array("name", "full")).alias("token")).distinct()
     strings = tokens.filter("kind = 'string'").select("token").join(known, "token", "left_semi")
     used = targets.union(targets.select(T.last_segment(F.col("token")))).union(strings).union(strings.select(T.last_segment(F.col("token"))))
