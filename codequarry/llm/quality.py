@@ -2,7 +2,7 @@
 
 Each document becomes statistics of its whole text (lengths, kinds of characters, repetition). Standardised, they pass through
 `dimensions` random Fourier features, whose inner products approximate a Gaussian kernel; its width is the median distance of
-labelled documents. Every partition sums its part of the normal equations of the labelled documents, the driver adds the
+`width_sample` labelled documents, chosen by hash. Every partition sums its part of the normal equations of the labelled documents, the driver adds the
 sums (their size doesn't depend on the data) and solves for ridge scores. Every fourth labelled document, by hash, is held out of the fit;
 isotonic regression on held-out scores turns scores into probabilities of good quality. All labels are used.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from codequarry.llm._text import NON_WORD, SPACES, U64, Words, raw, slices
 from codequarry.session import ship, write_shared
 
-DIMENSIONS, RIDGE, BINS, KEEP_FROM, SEED = 192, 1e-3, 1024, 0.5, 11
+DIMENSIONS, RIDGE, BINS, KEEP_FROM, SEED, WIDTH_SAMPLE = 192, 1e-3, 1024, 0.5, 11, 500
 STATISTICS = ("log_bytes", "log_words", "word_length", "long_words", "distinct_words", "distinct_bigrams", "log_lines", "line_repeats", "words_a_line", "upper", "digit", "space", "stop", "comma", "symbol", "other_mark", "beyond_ascii", "top_word")
 
 _CLASS = np.zeros(256, np.int64)
@@ -147,7 +147,7 @@ def bins(score: np.ndarray) -> np.ndarray:
     return np.clip(((score + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1)
 
 
-def classify(documents: DataFrame, labels: DataFrame, dimensions: int = DIMENSIONS, ridge: float = RIDGE, keep_from: float = KEEP_FROM) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, dimensions: int = DIMENSIONS, ridge: float = RIDGE, keep_from: float = KEEP_FROM, width_sample: int = WIDTH_SAMPLE) -> DataFrame:
     """(doc_id, score, probability, keep) of every document."""
     spark = documents.sparkSession
     ship(spark)
@@ -160,7 +160,7 @@ def classify(documents: DataFrame, labels: DataFrame, dimensions: int = DIMENSIO
         return measured.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("probability"), F.lit(True).alias("keep"))
     moments = fitted.agg(*(f(F.col("x")[i].cast("double")).alias(f"{name}{i}") for i in range(len(STATISTICS)) for name, f in (("m", F.mean), ("s", F.stddev_pop)))).first()
     mean, deviation = (np.array([moments[f"{k}{i}"] for i in range(len(STATISTICS))]) for k in "ms")
-    some = np.array([r["x"] for r in fitted.orderBy(F.xxhash64("doc_id", F.lit("width")), "doc_id").limit(500).select("x").collect()])  # a sample for the kernel's width alone
+    some = np.array([r["x"] for r in fitted.orderBy(F.xxhash64("doc_id", F.lit("width")), "doc_id").limit(width_sample).select("x").collect()])
     z = np.clip((some - mean) / np.where(deviation > 1e-9, deviation, 1.0), -8, 8)
     distance = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))[np.triu_indices(len(z), 1)] if len(z) > 1 else np.ones(1)
     features = Features(mean, deviation, float(np.median(distance)) or 1.0, dimensions)
