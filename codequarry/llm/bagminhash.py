@@ -8,9 +8,12 @@ takes the points below its weight. Two documents share a component's point with
 Jaccard similarity, sum(min)/sum(max). Only points before a horizon that fills the signature are ever made, so the
 work for a text is one hash a distinct bigram and some thousand points.
 
-Signatures are cut in bands. In each bucket every document is linked to the least doc_id and to its predecessor,
-so a bucket costs what it has members, whatever its size. Links whose ends aren't joined yet are verified by exact
-weighted Jaccard similarity on the texts; verified links make groups (connected components).
+Signatures are cut in bands. In each bucket every document is linked to the least doc_id and to its predecessor.
+Links whose ends aren't joined yet are verified by exact weighted Jaccard similarity on the texts; verified links
+make groups (connected components). Where a bucket's members aren't in one group then, ever more of them, in an
+order by hash that is another one in each band, are linked to all members of other groups, until no pair of a bucket
+is left that is neither joined nor verified. So a bucket costs what it has members if they are alike, and at most all
+its pairs if they aren't.
 
 Defined results: null, empty and wordless texts, and rows without doc_id, belong to no group. Rows that share
 a doc_id are one document. Exact copies (same words in the same order) are grouped without banding.
@@ -164,8 +167,9 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     firsts = signed.join(exact.select(F.col("rep").alias("doc_id"), "words_hash", "n_words"), ["doc_id", "words_hash", "n_words"], "left_semi")
     bucket = Window.partitionBy("band", "value")
     inside = firsts.select("doc_id", F.posexplode("bands").alias("band", "value")).select(
-        "doc_id", F.min("doc_id").over(bucket).alias("leader"), F.lag("doc_id").over(bucket.orderBy("doc_id")).alias("previous")
+        "doc_id", "band", "value", F.count("*").over(bucket).alias("size"), F.min("doc_id").over(bucket).alias("leader"), F.lag("doc_id").over(bucket.orderBy("doc_id")).alias("previous")
     )
+    inside = write_shared(inside.filter("size > 1"), "buckets")
     links = inside.filter("doc_id > leader").select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("leader", F.coalesce("previous", "leader")))).alias("b")).filter("a <> b")
     links = write_shared(links.groupBy("a", "b").agg(F.count("*").alias("votes")), "links")
     linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -183,6 +187,25 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
         found = write_shared(verified(open_.select("a", "b"), docs), "verified")
         done = found if done is None else done.union(found)
         labels = components(done.filter(F.col("similarity") >= threshold).select("a", "b"))
+    place = F.row_number().over(bucket.orderBy(F.xxhash64("band", "doc_id"), "doc_id"))
+    crowds = inside.filter("size > 3").select("doc_id", "band", "value", place.alias("place"))  # links are all pairs of up to three
+    leaders = 1
+    while True:
+        # those who led are through: every later member of their buckets is joined with them or verified against them
+        crowds = crowds.select("doc_id", "band", "value", "place").join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        crowds = crowds.withColumns({"first": F.min("place").over(bucket), "low": F.min("label").over(bucket), "high": F.max("label").over(bucket)})
+        crowds = write_shared(crowds.filter("low < high").drop("low", "high"), "crowds")
+        if not crowds.limit(1).count():
+            break
+        leading = crowds.filter(F.col("place") < F.col("first") + leaders).select("band", "value", F.col("doc_id").alias("other"), F.col("place").alias("at"), F.col("label").alias("group"))
+        pairs = crowds.join(leading, ["band", "value"]).filter("place > at and label <> group").select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
+        found = write_shared(verified(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), docs), "verified")
+        done = done.union(found)
+        joined = found.filter(F.col("similarity") >= threshold).select("a", "b")
+        if joined.limit(1).count():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(joined))
+        crowds = crowds.filter(F.col("place") >= F.col("first") + leaders)
+        leaders *= 4
     groups = exact.join(labels, exact["rep"] == labels["node"], "left").select("words_hash", "n_words", "copies", F.col("label"), F.coalesce("label", "rep").alias("group_id"))
     groups = groups.filter("copies > 1 or label is not null").select("words_hash", "n_words", "group_id")
     members = signed.select("doc_id", "words_hash", "n_words").join(groups, ["words_hash", "n_words"])

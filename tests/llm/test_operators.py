@@ -379,6 +379,34 @@ def test_near_duplicates(spark):
     assert bagminhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_large_uneven_families(spark):
+    rng = random.Random(12)
+    vocabulary = [sentence(rng, 1) + str(i) for i in range(2000)]
+    base, texts = rng.sample(vocabulary, 90), {}
+    for k in range(1100):
+        p = 0 if k == 600 else rng.choice([0.06, 0.08, 0.1])
+        texts[k] = " ".join(w if rng.random() > p else rng.choice(vocabulary) for w in base)
+    ids, column = list(texts), pa.array(list(texts.values()))
+    row, gram, count = bagminhash.multisets(Words(column, NON_WORD, lower=True))
+    grams, place = np.unique(gram, return_inverse=True)
+    weight = np.zeros((len(ids), len(grams)), np.uint8)
+    weight[row, place] = count
+    (signed,) = bagminhash._sign(iter([pa.RecordBatch.from_arrays([pa.array(ids), column], ["doc_id", "text"])]))
+    bands = np.array(signed.column("bands").to_pylist())
+    near, group = 0, np.arange(len(ids))
+    for i in range(len(ids)):
+        both = np.minimum(weight[i], weight[:i]).sum(1, dtype=np.int64)
+        close = np.flatnonzero((both / (weight[i].sum(dtype=np.int64) + weight[:i].sum(1, dtype=np.int64) - both) >= bagminhash.THRESHOLD) & (bands[:i] == bands[i]).any(1))
+        near += len(close)
+        for g in set(group[close]) - {group[i]}:
+            low, high = sorted((g, group[i]))
+            group[group == high] = low
+    want = {ids[i]: min(ids[j] for j in np.flatnonzero(group == group[i])) for i in range(len(ids)) if (group == group[i]).sum() > 1}
+    assert near > 1000 and len(want) > 700
+    got = {r.doc_id: r.group_id for r in bagminhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(11)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
