@@ -19,7 +19,7 @@ from codequarry.operators import resolve as R
 from codequarry.sources import scanners as E
 from codequarry.sources import store as S
 
-Query = Callable[[SparkSession, str], DataFrame]
+Query = Callable[..., DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -59,15 +59,15 @@ def part_files(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select(F.col("p_partkey").alias("file_id"), _path().alias("path"), F.lit("python").alias("language"), F.col("p_size").cast("long").alias("size"), "p_type", "p_name")
 
 
-def part_dependencies(spark: SparkSession, d: str, a: int = 48, b: int = 0) -> DataFrame:
-    """(source_file_id, target_file_id, type, dep_id): lines of an order that follow each other."""
+def part_dependencies(spark: SparkSession, d: str, a: int | None = 48, b: int | None = 0) -> DataFrame:
+    """(source_file_id, target_file_id, type): lines of an order that follow each other, of quantities from a and b, or of any where these are None."""
     line = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-    left = line.filter(F.col("l_quantity") >= a).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("source_file_id"))
-    right = line.filter(F.col("l_quantity") >= b).select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target_file_id"), F.when(F.col("l_returnflag") == "A", "load").when(F.col("l_returnflag") == "R", "inherit").otherwise("import").alias("type"))
+    left = (line if a is None else line.filter(F.col("l_quantity") >= a)).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("source_file_id"))
+    right = (line if b is None else line.filter(F.col("l_quantity") >= b)).select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target_file_id"), F.when(F.col("l_returnflag") == "A", "load").when(F.col("l_returnflag") == "R", "inherit").otherwise("import").alias("type"))
     return left.join(right, ["l_orderkey", "l_linenumber"]).select("source_file_id", "target_file_id", "type")
 
 
-def part_pairs(spark: SparkSession, d: str, a: int = 48, b: int = 0) -> DataFrame:
+def part_pairs(spark: SparkSession, d: str, a: int | None = 48, b: int | None = 0) -> DataFrame:
     """(src, dst, type) as paths."""
     names = part_files(spark, d).select("file_id", "path")
     deps = part_dependencies(spark, d, a, b)
@@ -75,7 +75,7 @@ def part_pairs(spark: SparkSession, d: str, a: int = 48, b: int = 0) -> DataFram
     return deps.select("src", "dst", "type")
 
 
-def part_edges(spark: SparkSession, d: str, a: int = 48, b: int = 0) -> DataFrame:
+def part_edges(spark: SparkSession, d: str, a: int | None = 48, b: int | None = 0) -> DataFrame:
     return G.fold_edges(part_pairs(spark, d, a, b))
 
 
@@ -163,49 +163,49 @@ def envelopes_by_layer(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {_edges()} SELECT * FROM edges")
-def edge_fold(spark: SparkSession, d: str) -> DataFrame:
-    return part_edges(spark, d).withColumn("types", F.array_join("types", ","))
+def edge_fold(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return part_edges(spark, d, *least).withColumn("types", F.array_join("types", ","))
 
 
 @query(f"WITH {_edges()} SELECT * FROM edges WHERE types <> 'load'")
-def strong_edges(spark: SparkSession, d: str) -> DataFrame:
-    return G.strong_edges(part_edges(spark, d)).withColumn("types", F.array_join("types", ","))
+def strong_edges(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return G.strong_edges(part_edges(spark, d, *least)).withColumn("types", F.array_join("types", ","))
 
 
 @query(f"""WITH {_edges()}, p AS (SELECT DISTINCT split_part(src, '/', 1) AS a, split_part(dst, '/', 1) AS b FROM edges WHERE split_part(src, '/', 1) <> split_part(dst, '/', 1)),
 m AS (SELECT DISTINCT module FROM files), c AS (SELECT module, (SELECT count(*) FROM p WHERE b = module) AS ca, (SELECT count(*) FROM p WHERE a = module) AS ce FROM m)
 SELECT module, CAST(ca AS BIGINT) AS afferent, CAST(ce AS BIGINT) AS efferent, CASE WHEN ca + ce > 0 THEN round_even(CAST(ce AS DOUBLE) / (ca + ce), 3) ELSE 0.0 END AS instability FROM c""")
-def coupling_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return G.coupling(part_files(spark, d), part_edges(spark, d))
+def coupling_metrics(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return G.coupling(part_files(spark, d), part_edges(spark, d, *least))
 
 
 _NO_IMPORTERS = f"WITH {_edges()}, o AS (SELECT path, EXISTS (SELECT 1 FROM pairs WHERE src = path AND type = 'load') AS entry FROM files WHERE path NOT IN (SELECT dst FROM edges) AND path IN (SELECT src FROM edges)) SELECT path FROM o WHERE "
 
 
-def _loaders(spark: SparkSession, d: str) -> DataFrame:
-    return part_pairs(spark, d).filter("type = 'load'").select(F.col("src").alias("path"))
+def _loaders(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return part_pairs(spark, d, *least).filter("type = 'load'").select(F.col("src").alias("path"))
 
 
 @query(_NO_IMPORTERS + "NOT entry")
-def orphan_files(spark: SparkSession, d: str) -> DataFrame:
-    return G.orphan_files(part_files(spark, d), part_edges(spark, d), _loaders(spark, d))
+def orphan_files(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return G.orphan_files(part_files(spark, d), part_edges(spark, d, *least), _loaders(spark, d, *least))
 
 
 @query(_NO_IMPORTERS + "entry")
-def entry_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return G.entry_candidates(part_files(spark, d), part_edges(spark, d), _loaders(spark, d))
+def entry_candidates(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return G.entry_candidates(part_files(spark, d), part_edges(spark, d, *least), _loaders(spark, d, *least))
 
 
 @query(f"""WITH {_edges()}, l(kind, layer, n) AS (VALUES ('ECONOMY', 'view', 0), ('STANDARD', 'controller', 1), ('SMALL', 'service', 2), ('MEDIUM', 'repository', 3), ('LARGE', 'model', 4))
 SELECT src AS source_file, a.layer AS source_layer, dst AS target_name, b.layer AS target_layer, a.layer || ' -> ' || b.layer || ' (reversed dependency)' AS violation
 FROM edges JOIN files s ON s.path = src JOIN files t ON t.path = dst JOIN l a ON a.kind = s.p_type JOIN l b ON b.kind = t.p_type WHERE a.n > b.n""")
-def layer_violations(spark: SparkSession, d: str) -> DataFrame:
-    return G.layer_violations(part_edges(spark, d), custom={k.lower(): {"views": "view", "controllers": "controller", "services": "service", "repositories": "repository", "models": "model"}[v] for k, v in _LAYER.items()})
+def layer_violations(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return G.layer_violations(part_edges(spark, d, *least), custom={k.lower(): {"views": "view", "controllers": "controller", "services": "service", "repositories": "repository", "models": "model"}[v] for k, v in _LAYER.items()})
 
 
 @query(f"WITH {_edges()} SELECT CAST(n AS BIGINT) AS node_count, CAST(e AS BIGINT) AS edge_count, round_even(e / (n * CAST(n - 1 AS DOUBLE)), 6) AS density FROM (SELECT count(*) AS n FROM files), (SELECT count(*) AS e FROM edges)")
-def graph_density(spark: SparkSession, d: str) -> DataFrame:
-    return G.density(part_files(spark, d), part_edges(spark, d))
+def graph_density(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return G.density(part_files(spark, d), part_edges(spark, d, *least))
 
 
 @query(f"""WITH RECURSIVE {_edges(42, 25)}, e AS (SELECT src, dst FROM edges),
@@ -219,13 +219,13 @@ def cycles_bounded(spark: SparkSession, d: str) -> DataFrame:
 t3 AS (SELECT * FROM t2 WHERE src IN (SELECT dst FROM t2) AND dst IN (SELECT src FROM t2)), t4 AS (SELECT * FROM t3 WHERE src IN (SELECT dst FROM t3) AND dst IN (SELECT src FROM t3)),
 r(a, b) AS (SELECT src, dst FROM t4 UNION SELECT r.a, t4.dst FROM r JOIN t4 ON t4.src = r.b), s AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
 SELECT a AS path, min(b) AS component, CAST(count(*) AS BIGINT) AS size FROM s GROUP BY a HAVING count(*) > 1""")
-def scc_members(spark: SparkSession, d: str) -> DataFrame:
-    return G.strong_components(part_edges(spark, d, 42, 25))
+def scc_members(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return G.strong_components(part_edges(spark, d, *(least or (42, 25))))
 
 
 @query()
-def betweenness_topk(spark: SparkSession, d: str) -> DataFrame:
-    return G.betweenness(part_files(spark, d), part_edges(spark, d))
+def betweenness_topk(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return G.betweenness(part_files(spark, d), part_edges(spark, d, *least))
 
 
 # resolving
@@ -442,19 +442,19 @@ v AS (SELECT count(*) AS n FROM edges JOIN files s ON s.path = src JOIN files t
 o AS (SELECT count(*) AS n FROM files WHERE path NOT IN (SELECT dst FROM edges) AND path IN (SELECT src FROM edges) AND NOT EXISTS (SELECT 1 FROM pairs WHERE src = path AND type = 'load')), w AS (SELECT count(*) AS n FROM documents WHERE lang = 'fr')"""
 
 
-def _metric_row(spark: SparkSession, d: str) -> DataFrame:
+def _metric_row(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    return n(layer_violations(spark, d), "violations").crossJoin(n(G.without_importers(part_files(spark, d), part_edges(spark, d), _loaders(spark, d)).filter("not entry"), "orphans")).crossJoin(n(doc_findings(spark, d).filter("category = 'hardcoded_ip_url'"), "hardwiring"))
+    return n(layer_violations(spark, d, *least), "violations").crossJoin(n(G.without_importers(part_files(spark, d), part_edges(spark, d, *least), _loaders(spark, d, *least)).filter("not entry"), "orphans")).crossJoin(n(doc_findings(spark, d).filter("category = 'hardcoded_ip_url'"), "hardwiring"))
 
 
 @query(_METRICS + " SELECT CAST(v.n AS BIGINT) AS violations, CAST(o.n AS BIGINT) AS orphans, CAST(w.n AS BIGINT) AS hardwiring, CAST(v.n * 12 + o.n * 2 + w.n AS DOUBLE) AS score FROM v, o, w")
-def metric_vector(spark: SparkSession, d: str) -> DataFrame:
-    return _metric_row(spark, d).withColumn("score", N.score({k: N.SCORE[k] for k in ("violations", "orphans", "hardwiring")}))
+def metric_vector(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    return _metric_row(spark, d, *least).withColumn("score", N.score({k: N.SCORE[k] for k in ("violations", "orphans", "hardwiring")}))
 
 
 @query(_METRICS + " SELECT v.n > 0 OR o.n > 1 AS accepted, CAST(v.n * 12 + o.n * 2 + w.n AS DOUBLE) AS b_score, CAST(v.n // 2 * 12 + (o.n - o.n // 2) * 2 + w.n AS DOUBLE) AS a_score FROM v, o, w")
-def pareto_gate(spark: SparkSession, d: str) -> DataFrame:
-    before = _metric_row(spark, d)
+def pareto_gate(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+    before = _metric_row(spark, d, *least)
     after = before.select(F.expr("violations div 2").alias("violations"), F.expr("orphans - orphans div 2").alias("orphans"), "hardwiring")
     return N.pareto(before, after, ["violations", "orphans", "hardwiring"])
 
@@ -464,3 +464,21 @@ def contract_merge(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part")
     patch = p.select(F.lit("hooks").alias("category"), F.concat(F.lit(" "), "p_type").alias("value")).union(p.select(F.lit("env_keys"), F.concat("p_brand", F.lit(" ")))).union(p.select(F.lit("no_such_field"), F.col("p_name")))
     return C.merge_lookup(_t(spark, d, "events").select(F.lit("routes").alias("category"), F.col("event_type").alias("value")), patch)
+
+
+# The graph queries over all lines. scc_members has no SQL there: the closure it takes is too large.
+
+WHOLE = "edge_fold strong_edges coupling_metrics orphan_files entry_candidates layer_violations graph_density scc_members betweenness_topk metric_vector pareto_gate".split()
+
+
+def _whole(name: str) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return QUERIES[name](spark, d, None, None)
+
+    QUERIES[f"{name}_whole"] = f
+    if name in ORACLE and name != "scc_members":
+        ORACLE[f"{name}_whole"] = ORACLE[name].replace("\n  WHERE x.l_quantity >= 48 AND y.l_quantity >= 0)", ")")
+
+
+for _name in WHOLE:
+    _whole(_name)
