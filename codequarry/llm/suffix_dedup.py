@@ -92,12 +92,12 @@ def _contexts(length: int):
 def build(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """BWT and common prefixes of a collection of strings of symbols above 0, by rounds of one symbol a string.
 
-    Returns, in the order of the suffixes: the symbol before each (0: none), the common prefix with the suffix before it (at most 255),
+    Returns, in the order of the suffixes: the symbol before each (0: none), the common prefix with the suffix before it,
     the string and the offset of each. The first entries are the empty suffixes, in the order of the strings.
     """
     count = len(starts)
     key = np.arange(count, dtype=U64)  # first symbol, and the place of the tail; of the empty suffixes: 0, and the string
-    prefix = np.zeros(count, np.uint8)
+    prefix = np.zeros(count, np.min_scalar_type(int(sizes.max(initial=0))))  # no prefix is longer than the longest string
     before = np.zeros(count, np.uint32)
     owner = np.arange(count, dtype=np.int32)
     offset = sizes.astype(np.int32).copy()
@@ -126,7 +126,7 @@ def build(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
         longer[changed] = 0
         if len(same):
             a, b = (to[same - 1] & low).astype(np.int64) + 1, (to[same] & low).astype(np.int64)
-            longer[same] = np.minimum(_range_min(prefix, a, b).astype(np.int32) + 1, 255)
+            longer[same] = _range_min(prefix, a, b).astype(np.int64) + 1
         moved = np.arange(total, dtype=np.int64) + np.cumsum(np.bincount(at, minlength=total + 1))[:total]
         heads = to >> U64(32)
         tails = (to & low).astype(np.int64)

@@ -71,6 +71,14 @@ def brute_repeats(texts, length):
     return out
 
 
+def test_repeated_passages_of_over_255_words(spark):
+    rng = random.Random(255)
+    shared = sentence(rng, 310)
+    texts = {i: sentence(rng, 20 * i) + " " + shared + " " + sentence(rng, 15) for i in range(1, 4)} | {9: sentence(rng, 400), 10: " ".join(shared.split()[:290])}
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs(spark, texts), 300).collect()}
+    assert got == {tuple(x) for x in brute_repeats(texts, 300)} and {d for d, _, _ in got} == {1, 2, 3}
+
+
 @pytest.mark.parametrize("length", [12, 50])
 def test_repeated_passages(spark, length):
     rng = random.Random(length)
