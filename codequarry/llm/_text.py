@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+ROWS = 1 << 16  # a row's number in a part has 16 bits in the keys of multisets
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -57,7 +58,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about `most` bytes of text, one row at least: memory stays bounded, no text is cut."""
+    """Parts of a batch of about `most` bytes of text and at most ROWS rows, one row at least: memory stays bounded, no text is cut."""
     n = batch.num_rows
     if not n:
         return
@@ -66,7 +67,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterato
     at = 0
     while at < n:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = min(max(at + 1, int(np.searchsorted(ends, base + most, "right"))), at + ROWS)
         yield batch.slice(at, to - at)
         at = to
 
