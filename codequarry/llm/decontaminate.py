@@ -1,21 +1,22 @@
 """Benchmark decontamination by pigeonhole pieces and Myers' bit-parallel edit distance.
 
-Texts are compared in lower case with white space runs as one blank. An item of m characters may occur in a document with
+Texts are compared in lower case with white space runs as one blank, items and documents by the same Arrow functions, which
+take each character by itself. An item of m characters may occur in a document with
 k = floor(error_rate * m) edits; cut into k + 1 pieces, one of them then occurs unchanged. An Aho-Corasick automaton of
 all pieces finds their exact hits in one pass over a text; around each, Myers' algorithm computes the least edit distance
-of the item to any substring. Nothing within the budget is missed, and nothing beyond it is reported.
+of the item to any substring. Of these places only those are verified where enough of the item's Q-grams occur: k edits change at
+most k * Q of them, so that items which share a sentence cost little. Nothing within the budget is missed, and nothing beyond it is reported.
 
 The benchmark goes to executors only in parts of at most `part_chars` characters, whatever its size; each part is
 one automaton and, beyond the first, one more pass over the documents.
 
 Defined results: null and empty texts and items never match, nor do items without letters or digits; rows without doc_id or
 item_id are ignored; rows that repeat give one result row each (doc_id, item_id), with the least distance. Pieces of
-less than one character can't arise, as k < m. Other columns of either table are ignored.
+less than one character can't arise, as k < m. Texts of any length are searched whole. Other columns of either table are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,11 +27,17 @@ from pyspark.sql import functions as F
 from codequarry.llm._text import slices
 from codequarry.session import ship
 
-ERROR_RATE, PART_CHARS = 0.08, 8_000_000
+ERROR_RATE, PART_CHARS, Q = 0.08, 8_000_000, 5
+# RE2's \s is ASCII; other white space is named
+_BLANKS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def normalised(texts: pa.Array) -> pa.Array:
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _BLANKS, " "))
 
 
 def normal(text: str) -> str:
-    return re.sub(r"\s+", " ", text.lower()).strip()
+    return normalised(pa.array([text]))[0].as_py()
 
 
 def pieces(item: str, error_rate: float) -> list[tuple[str, int]]:
@@ -96,6 +103,7 @@ def leaks(text: str, auto, items: list[tuple[int, str]], masks: list[dict[str, i
             begin = end - length + 1 - offset
             regions.setdefault(at, []).append((max(0, begin - k), begin + m + k))
     out = {}
+    seen: dict[tuple[int, int], set[str]] = {}
     for at, spans in regions.items():
         m = len(items[at][1])
         k = int(error_rate * m)
@@ -106,7 +114,15 @@ def leaks(text: str, auto, items: list[tuple[int, str]], masks: list[dict[str, i
                 merged[-1][1] = max(b, merged[-1][1])
             else:
                 merged.append([a, b])
-        best = min(distance_within(masks[at], m, text[a:b], k) for a, b in merged)
+        least = m - Q + 1 - k * Q  # as many of its Q-grams an occurrence still has
+        grams = [items[at][1][i : i + Q] for i in range(m - Q + 1)]
+        best = k + 1
+        for a, b in merged:
+            there = seen.get((a, b))
+            if there is None:
+                there = seen[a, b] = {text[i : i + Q] for i in range(max(a, 0), min(b, len(text)) - Q + 1)}
+            if sum(map(there.__contains__, grams)) >= least:
+                best = min(best, distance_within(masks[at], m, text[a:b], k))
         if best <= k:
             out[at] = best
     return out
@@ -121,8 +137,7 @@ def _scan(shared, error_rate: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
         masks = [alphabet(t) for _, t in items]
         for batch in batches:
             for part in slices(batch, "text"):
-                # RE2's \s is ASCII; the other white space that Python knows is named
-                texts = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(part.column("text")), "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+", " "))
+                texts = normalised(part.column("text"))
                 rows = [(doc, items[at][0], d, len(items[at][1])) for doc, text in zip(part.column("doc_id").to_pylist(), texts.to_pylist(), strict=True) if text for at, d in leaks(text, auto, items, masks, error_rate).items()]
                 yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "distance", "item_chars"), r, strict=True)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("item_chars", pa.int32())]))
 
@@ -140,7 +155,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, error_rate: float =
     out = None
     for i in range(parts):
         some = tests if parts == 1 else tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i)
-        shared = spark.sparkContext.broadcast(sorted({(r.item_id, normal(r.text)) for r in some.collect()}))
+        rows = some.collect()
+        texts = normalised(pa.array([r.text for r in rows], pa.string())).to_pylist()
+        shared = spark.sparkContext.broadcast(sorted({(r.item_id, t) for r, t in zip(rows, texts, strict=True) if t}))
         found = docs.mapInArrow(_scan(shared, error_rate), "doc_id long, item_id long, distance int, item_chars int")
         out = found if out is None else out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.min_by("item_chars", "distance").alias("item_chars"))
