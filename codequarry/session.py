@@ -69,6 +69,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder as Parquet and read it back: columnar, compressed and pruned on later reads."""
     spark = df.sparkSession
