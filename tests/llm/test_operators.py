@@ -467,10 +467,77 @@ def test_packing_repeated_rows(spark):
     assert max(room.values()) <= 10 and len(room) == 2
 
 
-def test_sweep_ties():
-    runs = packing.sweep({5: 4, 10: 1}, 10)
-    assert sum(b - a for s, a, b, _, _ in runs if s == 5) == 4 and len({first + k for _, a, b, first, _ in runs for k in range(b - a)}) == 3
-    assert packing.sweep({}, 10) == []
+def rounds_by_definition(pieces, capacity):
+    """{piece: (sequence, offset)}: in each round, over all pieces and gaps by size, a gap takes the last piece that waits."""
+    waiting, opened = sorted(pieces, key=lambda p: (p[0], p[1])), -(-sum(s for s, _ in pieces) // capacity)
+    gaps, out = [(capacity, q) for q in range(opened)], {}
+    while waiting:
+        gaps = [g for g in gaps if g[0] >= waiting[0][0]]
+        if not gaps:
+            more = -(-sum(s for s, _ in waiting) // capacity)
+            gaps, opened = [(capacity, opened + i) for i in range(more)], opened + more
+        line = sorted([(s, 0, key) for s, key in waiting] + [(f, 1, (q,)) for f, q in gaps])
+        stack, waiting, gaps = [], [], []
+        for value, kind, key in line:
+            if kind == 0:
+                stack.append((value, key))
+            elif stack:
+                size, piece = stack.pop()
+                out[piece] = key[0], capacity - value
+                gaps.append((value - size, key[0]))
+            else:
+                gaps.append((value, key[0]))
+        waiting = stack
+    return out
+
+
+@pytest.mark.parametrize("task_rows", [10**6, 40])
+def test_packing_against_rounds_by_definition(spark, task_rows):
+    rng = random.Random(30)
+    for sizes in ([rng.randint(1, 60) for _ in range(300)], [20] * 90, [30] * 31 + [1] * 200, [rng.choice([7, 13, 50, 120]) for _ in range(150)]):
+        want = rounds_by_definition([(min(50, n - a), (d, a // 50)) for d, n in enumerate(sizes) for a in range(0, n, 50)], 50)
+        rows = packing.pack(docs(spark, ["w " * n for n in sizes]), 50, task_rows=task_rows, range_rows=30).collect()
+        assert {(r.doc_id, r.piece): (r.sequence, r.offset) for r in rows} == want
+
+
+def test_brackets_and_their_joints():
+    rng = random.Random(8)
+    for _ in range(200):
+        kind = np.array([rng.randint(0, 1) for _ in range(rng.randint(0, 40))], int)
+        stack, want = [], {}
+        for i, k in enumerate(kind.tolist()):
+            if k == packing.PIECE:
+                stack.append(i)
+            elif stack:
+                want[stack.pop()] = i
+        piece, gap, _, _ = packing.brackets(kind)
+        assert dict(zip(piece.tolist(), gap.tolist(), strict=True)) == want
+        cuts = sorted(rng.choices(range(len(kind) + 1), k=3))
+        counts, places, found = [], {}, {}
+        for part, (a, b) in enumerate(itertools.pairwise([0, *cuts, len(kind)])):
+            p, g, gaps, pieces = packing.brackets(kind[a:b])
+            found |= dict(zip((p + a).tolist(), (g + a).tolist(), strict=True))
+            counts.append((part, len(gaps), len(pieces)))
+            places[part] = (gaps + a).tolist(), (pieces + a).tolist()
+        for _, k, p, last, g, first in packing.joined(counts):
+            found |= {places[p][1][last - i]: places[g][0][first + i] for i in range(k)}
+        assert found == want
+
+
+def test_sequences_hold_their_texts(spark):
+    texts = {1: "a  b\nc", 2: "d " * 25, 3: "e", 4: "  f\t g "} | ODD
+    df = docs(spark, texts).withColumn("sequence", F.lit("clash"))
+    rows = packing.sequences(df.union(df), 10).collect()
+    made = Counter()
+    for r in rows:
+        words = r.text.split()
+        assert len(words) == r.n_words <= 10 and list(r.doc_ids) == [p.doc_id for p in r.pieces]
+        for p in r.pieces:
+            own = texts[p.doc_id].split()[p.start_word : p.start_word + p.n_words]
+            assert words[p.offset : p.offset + p.n_words] == own
+            made[p.doc_id] += p.n_words
+    assert made == {d: 2 * len(t.split()) for d, t in texts.items() if t and t.split()}
+    assert packing.sequences(empty(spark), 10).count() == 0
 
 
 # 10

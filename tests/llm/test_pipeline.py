@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import Row
 from codequarry.llm import bagminhash, decontaminate, language_id, packing, pii
 from test_operators import ODD, check_packing, sentence
 
@@ -33,6 +34,6 @@ def test_stages(spark, tmp_path):
     out = {r.doc_id: r for r in d.collect()}
     assert set(out) == ids(c) and "<email>" in out[203].text and out[203].n_chars == len(out[203].text) and d.columns == docs.columns
     assert pii.personal_data(d).count() == 0
-    last = corpus_pipeline.run(spark, sd).collect()
+    last = [Row(sequence=r.sequence, **p.asDict()) for r in corpus_pipeline.run(spark, sd).collect() for p in r.pieces]
     counts = {i: len(r.text.split()) for i, r in out.items()}
     check_packing(last, counts, packing.CAPACITY)
