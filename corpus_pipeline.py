@@ -38,8 +38,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: pieces of documents with their sequence and offset."""
-    return packing.pack(docs)
+    """Best-fit packing: sequences with their documents and text."""
+    return packing.sequences(docs)
 
 
 STAGES = [
