@@ -12,27 +12,33 @@ another document.
    is built together with its longest common prefixes: in each round every context inserts one symbol, from its last word to its first
    (Bauer, Cox, Rosone 2011; Cox, Garofalo, Rosone, Sciortino 2016). The place of a new suffix follows from the place of its tail; the
    columns are then rewritten in one sequential pass. Where neighbours have `length` words in common and documents differ,
-   the passage repeats.
-4. Ranges of words are put back on the documents and merged.
+   the passage repeats. A bucket has a bounded number of words, so its columns are rewritten in the worker's memory; with `external`
+   they go through sequential files in the shared folder after each round (the README has what that costs).
+4. Hot anchors, with more than `HOT` unlike contexts: a passage takes more words at the anchor's left or right, so such contexts meet where they share
+   the anchor and some of these, in a few windows a context; windows still hot are widened again. Windows of `length` words are passages.
+   So a bucket has at most HOT contexts beyond BUCKET_SYMBOLS, however many documents share an anchor.
+5. Ranges of words are put back on the documents and merged.
 
 Defined results: null and empty texts and texts of fewer than `length` words have no passages; rows without doc_id are ignored; rows that
 share a doc_id are one document, a passage that only repeats within one isn't reported; passages that touch or overlap
-are one range. Other columns are ignored. Words are compared by 32 bits of their hash, anchors by 64.
+are one range; texts of any length are read whole. Other columns are ignored. Words are compared by 32 bits of their hash, anchors by 64.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm._text import U64, Words, slices, slide
-from codequarry.session import ship, write_shared
+from codequarry.llm._text import U64, Words, mix, raw, slices, slide
+from codequarry.session import scratch, ship, write_shared
 
-LENGTH, BUCKET_SYMBOLS = 50, 400_000
+LENGTH, BUCKET_SYMBOLS, HOT = 50, 400_000, 4_000
 _TOP = 2**64 - 1
 
 
@@ -84,16 +90,38 @@ def _contexts(length: int):
                 index = np.repeat(begin + first - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 offsets = np.concatenate([[0], np.cumsum(size) * 4]).astype(np.int32)
                 context = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(symbols[index].tobytes())])
-                yield pa.RecordBatch.from_arrays([anchor, context, part.column("doc_id").take(pa.array(row)), pa.array(first.astype(np.int32))], ["anchor", "context", "doc_id", "first"])
+                yield pa.RecordBatch.from_arrays([anchor, context, part.column("doc_id").take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array((place - first).astype(np.int32))], ["anchor", "context", "doc_id", "first", "at"])
 
     return cut
 
 
-def build(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Files:
+    """The columns of a bucket between two rounds, as sequential files in a folder that executors share."""
+
+    def __init__(self, folder: str):
+        self.system, self.path = fs.FileSystem.from_uri(f"{folder.rstrip('/')}/{uuid.uuid4().hex}")
+        self.system.create_dir(self.path)
+
+    def through(self, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """Write the columns one after the other, and read them again."""
+        for k, column in enumerate(columns):
+            with self.system.open_output_stream(f"{self.path}/{k}") as out:
+                out.write(memoryview(np.ascontiguousarray(column)).cast("B"))
+        back = []
+        for k, column in enumerate(columns):
+            with self.system.open_input_stream(f"{self.path}/{k}") as rows:
+                back.append(np.frombuffer(rows.readall(), column.dtype))
+        return back
+
+    def delete(self) -> None:
+        self.system.delete_dir(self.path)
+
+
+def build(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, files: Files | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """BWT and common prefixes of a collection of strings of symbols above 0, by rounds of one symbol a string.
 
     Returns, in the order of the suffixes: the symbol before each (0: none), the common prefix with the suffix before it,
-    the string and the offset of each. The first entries are the empty suffixes, in the order of the strings.
+    the string and the offset of each. With `files`, the columns go through them after each round. The first entries are the empty suffixes, in the order of the strings.
     """
     count = len(starts)
     key = np.arange(count, dtype=U64)  # first symbol, and the place of the tail; of the empty suffixes: 0, and the string
@@ -139,6 +167,9 @@ def build(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
         offset = np.insert(offset, at, (sizes[live] - step).astype(np.int32))
         place = moved[place]
         place[live] = where
+        if files:
+            key, prefix, before, owner, offset = files.through([key, prefix, before, owner, offset])
+            before = before.copy()
     return before, prefix, owner, offset
 
 
@@ -156,11 +187,14 @@ def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(contexts: list[tuple[bytes, int, int]], length: int) -> list[list[tuple[int, int]]]:
+def repeats(contexts: list[tuple[bytes, int, int]], length: int, folder: str | None = None) -> list[list[tuple[int, int]]]:
     """Ranges of words of each context (words as 32-bit symbols, least and greatest document) that repeat across documents."""
     sizes = np.array([len(c) // 4 for c, _, _ in contexts])
     text = np.frombuffer(b"".join(c for c, _, _ in contexts), np.uint32)
-    _, prefix, owner, offset = build(text, np.cumsum(sizes) - sizes, sizes)
+    files = Files(folder) if folder else None
+    _, prefix, owner, offset = build(text, np.cumsum(sizes) - sizes, sizes, files)
+    if files:
+        files.delete()
     first = np.flatnonzero(prefix < length)
     low, high = (np.array(x)[owner] for x in zip(*((a, b) for _, a, b in contexts), strict=True))
     group = np.cumsum(prefix < length) - 1
@@ -177,43 +211,118 @@ def repeats(contexts: list[tuple[bytes, int, int]], length: int) -> list[list[tu
     return out
 
 
-def _bucket(length: int):
-    """Contexts come sorted by anchor; whole anchors are gathered to buckets of about BUCKET_SYMBOLS words."""
+def _bucket(length: int, folder: str | None):
+    """Contexts come sorted by bucket; whole buckets are gathered to about BUCKET_SYMBOLS words."""
 
-    def solve(rows: list[tuple[int, int, bytes, int, int]]) -> pa.RecordBatch:
-        found = repeats([(c, a, b) for _, _, c, a, b in rows], length)
-        flat = [(rows[i][0], rows[i][1], a, b) for i, ranges in enumerate(found) for a, b in ranges]
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({r[1:3]: r for r in rows}.values())  # a hot context can come by several windows
+        found = repeats([(c, a, b) for _, _, _, c, a, b in rows], length, folder)
+        flat = [(rows[i][1], rows[i][2], a, b) for i, ranges in enumerate(found) for a, b in ranges]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["anchor", "context_hash", "from_word", "to_word"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, bytes, int, int]] = []
+        rows: list[tuple] = []
         symbols = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context_hash", "context", "low", "high")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "anchor", "context_hash", "context", "low", "high")), strict=True):
                 if symbols >= BUCKET_SYMBOLS and row[0] != rows[-1][0]:
                     yield solve(rows)
                     rows, symbols = [], 0
                 rows.append(row)
-                symbols += len(row[2]) // 4
+                symbols += len(row[3]) // 4
         if rows:
             yield solve(rows)
 
     return run
 
 
-def repeated_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start_word, end_word) of the passages of at least `length` words that other documents share; end_word is excluded."""
+def extras(span: int) -> list[int]:
+    """By how many words windows are wider than the anchor, level by level: half of what a passage has besides it, three quarters, ..., all."""
+    out, rest = [], span
+    while rest:
+        rest //= 2
+        out.append(span - rest)
+    return out
+
+
+def offsets(span: int, extra: int) -> list[int]:
+    """How many words a window begins before the anchor, so that every passage around the anchor holds one of them."""
+    return sorted({*range(0, extra, span - extra + 1), extra})
+
+
+def _windows(length: int, extra: int):
+    """Each context with every window of the anchor and `extra` words more that it holds."""
+    wide, before = anchor_words(length) + extra, offsets(length - anchor_words(length), extra)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, bounds = raw(batch.column("context"))
+            symbols, bounds = data.view(np.uint32) if len(data) else np.zeros(0, np.uint32), bounds // 4
+            at, size, anchor = batch.column("at").to_numpy().astype(np.int64), np.diff(bounds), batch.column("anchor").to_numpy()
+            for b in before:
+                use = np.flatnonzero((at >= b) & (at - b + wide <= size))
+                if not len(use):
+                    continue
+                start = bounds[use] + at[use] - b
+                key = mix(anchor[use].view(U64) + U64(b))
+                for k in range(wide):
+                    key = key * U64(0x9E3779B97F4A7C15) + symbols[start + k].astype(U64)
+                part = batch.take(pa.array(use))
+                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), *part.columns, pa.array((at[use] - b).astype(np.int32))], ["bucket", *part.schema.names, "from_word"])
+
+    return cut
+
+
+_CONTEXT = "anchor long, at int, context_hash long, context binary, low long, high long"
+
+
+def split(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of hot anchors: (bucket, anchor, context_hash, context, low, high) of buckets of at most `hot` contexts, and ranges that need none."""
+    columns = ["bucket", "anchor", "context_hash", "context", "low", "high"]
+    out, span = None, length - anchor_words(length)
+    for extra in extras(span):
+        wide = write_shared(rows.mapInArrow(_windows(length, extra), f"bucket long, {_CONTEXT}, from_word int"), "windows")
+        size = wide.groupBy("bucket").agg(F.count_distinct("anchor", "context_hash").alias("n"), F.min("low").alias("least"), F.max("high").alias("most")).filter("least <> most")
+        if extra == span:
+            ranges = wide.join(size.select("bucket"), "bucket").select("anchor", "context_hash", "from_word", (F.col("from_word") + length).alias("to_word"))
+            return (wide.select(columns).limit(0) if out is None else out), ranges
+        size = write_shared(size.select("bucket", "n"), "window_sizes")
+        some = wide.join(size.filter(F.col("n") <= hot).select("bucket"), "bucket").select(columns)
+        out = some if out is None else out.unionByName(some)
+        large = size.filter(F.col("n") > hot).select("bucket")
+        rows = wide.join(large, "bucket", "left_semi").select([c.split()[0] for c in _CONTEXT.split(", ")]).distinct()
+        if not large.limit(1).count():
+            break
+    return out, rows.select("anchor", "context_hash", F.lit(0).alias("from_word"), F.lit(0).alias("to_word")).limit(0)
+
+
+def repeated_passages(documents: DataFrame, length: int = LENGTH, hot: int = HOT, external: bool = False) -> DataFrame:
+    """(doc_id, start_word, end_word) of the passages of at least `length` words that other documents share; end_word is excluded.
+
+    external: the columns of each bucket go through files of the shared folder in each round, instead of staying in the worker's memory.
+    """
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     found = write_shared(docs.mapInArrow(_anchors(length), "anchor long, doc_id long, place int"), "anchors")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("anchor")
     places = found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
-    contexts = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts(length), "anchor long, context binary, doc_id long, first int")
-    contexts = write_shared(contexts.withColumn("context_hash", F.xxhash64("context")), "contexts")
-    one = contexts.groupBy("anchor", "context_hash", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    parts = one.repartition("anchor").sortWithinPartitions("anchor")
-    ranges = parts.mapInArrow(_bucket(length), "anchor long, context_hash long, from_word int, to_word int")
+    contexts = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts(length), "anchor long, context binary, doc_id long, first int, at int")
+    contexts = write_shared(contexts.withColumn("context_hash", F.xxhash64("context", "at")), "contexts")
+    crowded = write_shared(contexts.select("anchor", "context_hash").distinct().groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("anchor"), "hot_anchors")
+    busy = crowded.limit(1).count() > 0
+    merged = lambda rows: rows.groupBy("anchor", "at", "context_hash", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    parts = merged(contexts.join(crowded, "anchor", "left_anti") if busy else contexts).select(F.col("anchor").alias("bucket"), "anchor", "context_hash", "context", "low", "high")
+    direct = None
+    if busy:
+        some, direct = split(write_shared(merged(contexts.join(crowded, "anchor", "left_semi")), "hot_contexts"), length, hot)
+        parts = parts.unionByName(some)
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket")
+    ranges = parts.mapInArrow(_bucket(length, scratch(spark, "columns") if external else None), "anchor long, context_hash long, from_word int, to_word int")
+    if direct is not None:
+        ranges = ranges.unionByName(direct)
     spans = contexts.select("anchor", "context_hash", "doc_id", "first").join(ranges, ["anchor", "context_hash"])
     spans = spans.select("doc_id", (F.col("first") + F.col("from_word")).alias("start_word"), (F.col("first") + F.col("to_word")).alias("end_word")).distinct()
     sorted_ = Window.partitionBy("doc_id").orderBy("start_word", "end_word")

@@ -91,6 +91,28 @@ def test_repeated_passages(spark, length):
     assert suffix_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_repeated_passages_of_hot_anchors(spark, hot):
+    """Formulas shared by many documents, shorter and longer than a passage, with all anchors taken as hot."""
+    rng = random.Random(61)
+    formulas = [sentence(rng, n) for n in (25, 38, 49, 52, 80)]
+    twins = [f"{sentence(rng, 15)} {formulas[1]} {sentence(rng, 15)}", f"{formulas[2]} {sentence(rng, 4)}"]
+    texts = {i: f"{sentence(rng, rng.randint(0, 60))} {formulas[i % 5]} {sentence(rng, rng.randint(0, 60))}" for i in range(60)}
+    texts |= {70 + i: f"{sentence(rng, 30)} {twins[i % 2]} {sentence(rng, 30)}" for i in range(5)} | ODD
+    df = docs(spark, texts)
+    null = df.selectExpr("cast(null as long)", *df.columns[1:])
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(df.union(null), 50, hot=hot).collect()}
+    assert got == brute_repeats(texts, 50) and {d for d, _, _ in got} >= {70, 71, 3, 4}
+
+
+def test_repeated_passages_through_files(spark):
+    rng = random.Random(62)
+    shared = sentence(rng, 60)
+    texts = {i: f"{sentence(rng, 20)} {shared} {sentence(rng, 9)}" for i in range(4)}
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs(spark, texts), external=True).collect()}
+    assert got == brute_repeats(texts, 50) and len(got) == 4
+
+
 # 2
 
 
