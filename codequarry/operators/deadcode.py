@@ -222,16 +222,24 @@ def reference_tokens(files: DataFrame, patterns: list[str] | None = None) -> Dat
 def suffix_referenced(names: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(name, file_id) pairs of `names` that end a dependency's target of another file, as SQL's LIKE has it: any case, _ for any sign.
 
-    Names and targets meet on their last `k` signs, for each k that names have; a name with _ is compared with every target.
+    Names and targets meet on the name's longest run without _, which has a length and a distance from the end: one key of a target for each
+    (length, distance) that names have. Names of _ alone are told by the lengths of targets.
     """
     targets = dependencies.select(F.lower("target_name").alias("target"), "source_file_id").distinct()
-    plain = names.filter(~F.contains("name", F.lit("_"))).withColumn("key", F.lower("name"))
-    lengths = plain.select(F.length("key").alias("k")).distinct()
-    # broadcast: at most as many rows as the longest name has signs
-    ends = targets.crossJoin(F.broadcast(lengths)).filter(F.length("target") >= F.col("k")).select(F.expr("right(target, k)").alias("key"), "source_file_id").distinct()
-    hit = plain.join(ends, "key").filter("source_file_id <> file_id").select("name", "file_id")
-    wild = names.filter(F.contains("name", F.lit("_"))).join(targets, F.expr("target like concat('%', replace(lower(name), '%', '\\\\%'))")).filter("source_file_id <> file_id").select("name", "file_id")
-    return hit.union(wild).distinct()
+    runs = F.split(F.lower("name"), "_")
+    longest = F.array_max(F.transform(runs, lambda x, i: F.struct(F.length(x).alias("run"), i.alias("at"))))
+    known = names.select("name", "file_id", runs.alias("runs"), longest.alias("l")).select("name", "file_id", "runs", "l.*")
+    behind = F.slice("runs", F.col("at") + 2, F.size("runs"))
+    known = known.select("name", "file_id", "run", F.get("runs", F.col("at")).alias("key"), F.when(F.col("at") + 1 < F.size("runs"), F.length(F.array_join(behind, "_")) + 1).otherwise(0).alias("back"))
+    spans = known.filter("run > 0").select("run", "back").distinct()
+    # broadcast: at most the square of the longest name's length
+    keys = targets.crossJoin(F.broadcast(spans)).filter(F.length("target") >= F.col("run") + F.col("back")).select("run", "back", F.expr("substring(target, length(target) - back - run + 1, run)").alias("key"), "target", "source_file_id")
+    hit = known.filter("run > 0").join(keys, ["run", "back", "key"]).filter("source_file_id <> file_id")
+    hit = hit.filter(F.expr("(back = 0 and run = length(name)) or target like concat('%', replace(lower(name), '%', '\\\\%'))")).select("name", "file_id")
+    lengths = targets.groupBy(F.length("target").alias("size")).agg(F.min("source_file_id").alias("a"), F.max("source_file_id").alias("b"))
+    # broadcast: a row for each length that targets have
+    blank = known.filter("run = 0").join(F.broadcast(lengths), F.expr("size >= length(name) and (a <> file_id or b <> file_id)")).select("name", "file_id")
+    return hit.union(blank).distinct()
 
 
 def abandoned_classes(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, policy: DeadCodePolicy | None = None, compat: bool = False) -> DataFrame:

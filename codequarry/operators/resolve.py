@@ -61,8 +61,14 @@ def _stage(n: int, keys: Column, table: str) -> Column:
     return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k, i: F.struct(F.lit(n).alias("stage"), i.alias("at"), F.lit(table).alias("table"), k.alias("key")))
 
 
-def candidates(deps: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """deps (dep_id, src, namespaces, target) with one row a candidate: (stage, at, table, key)."""
+ENDINGS = {".py": (5,), ".rb": (6, 7), ".php": (8, 9, 10, 11)}
+
+
+def candidates(deps: DataFrame, aliases: dict[str, str] | None = None, endings: set[str] | None = None) -> DataFrame:
+    """deps (dep_id, src, namespaces, target) with one row a candidate: (stage, at, table, key).
+
+    endings: those of ENDINGS that files have; the stages of others can only tell files that aren't there, so they are left out.
+    """
     t = F.col("target")
     folder = T.parent(F.col("src"))
     clean = T.strip(t)
@@ -81,6 +87,7 @@ def candidates(deps: DataFrame, aliases: dict[str, str] | None = None) -> DataFr
     ends = F.concat(*(F.array(F.concat(js, F.lit(e))) for e in JS_ENDS), *(F.array(F.concat(js, F.lit(f"/index{e}"))) for e in JS_ENDS))
     js = F.when(js.isNotNull(), F.when(T.suffix(js) != "", F.array(js)).otherwise(ends))
     plain = ~t.rlike("[/.]") & (t != "")
+    idle = {n for e, some in ENDINGS.items() if endings is not None and e not in endings for n in some}
     stages = [
         _stage(1, F.array(t), "symbol"),
         _stage(2, F.when(F.contains(t, F.lit("\\")), F.array(T.last_segment(t))), "symbol"),
@@ -95,6 +102,7 @@ def candidates(deps: DataFrame, aliases: dict[str, str] | None = None) -> DataFr
         _stage(11, F.when(php.isNotNull(), F.array(php)), "ending"),
         _stage(12, js, "path"),
     ]
+    stages = [x for n, x in enumerate(stages, 1) if n not in idle]
     return deps.withColumn("c", F.explode(F.concat(*stages))).select("dep_id", "src", "target", "c.*")
 
 
@@ -108,7 +116,8 @@ def resolve(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, alias
     spaces = spaces.select("file_id", F.when(F.coalesce(F.col("namespace"), F.lit("")) != "", F.col("namespace")).when(F.col("type") == "module", F.col("name")).alias("ns")).groupBy("file_id").agg(F.collect_set("ns").alias("ns"))
     spaces = spaces.select("file_id", F.transform(F.array_sort(F.transform("ns", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("n")))), lambda x: x["n"]).alias("namespaces"))
     deps = dependencies.select("dep_id", F.col("source_file_id").alias("file_id"), F.col("target_name").alias("target"), "type").join(names.select("file_id", F.col("path").alias("src")), "file_id").join(spaces, "file_id", "left")
-    wanted = candidates(deps, aliases)
+    there = {r.e for r in names.select(F.regexp_extract("path", r"(\.(?:py|rb|php))$", 1).alias("e")).distinct().collect()}  # four rows at most
+    wanted = candidates(deps, aliases, there)
     endings = wanted.filter("`table` = 'ending'").select("key").distinct()
     paths = names.select("path").withColumn("name", T.file_name(F.col("path")))
     # an ending need not begin at a slash. One with a slash ends in a whole file name, which is joined on; for the others, names are
@@ -117,6 +126,7 @@ def resolve(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, alias
     tails = paths.select("name").distinct().select("name", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(8))), lambda k: F.right(F.col("name"), k))).alias("tail"))
     flat = endings.filter(~F.contains("key", F.lit("/"))).withColumn("tail", F.right(F.col("key"), F.lit(8))).join(tails, "tail").filter(F.col("name").endswith(F.col("key"))).select("key", "name")
     ends = deep.union(flat.join(paths, "name").select("key", "path"))
+    php, rb = ".php" in there, ".rb" in there
     tables = {
         "symbol": symbol_keys(files, symbols),
         "module": paths.select(module_name(F.col("path")).alias("key"), "path").filter("key is not null"),
@@ -125,8 +135,11 @@ def resolve(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, alias
         "name": unique_keys(paths.select(T.file_name(F.col("path")).alias("key"), "path")),
         "ending": unique_keys(ends),
     }
+    unused = (set() if php else {"ending", "name"}) | (set() if rb else {"suffix"}) | (set() if ".py" in there else {"module"})
     known = None
     for table, rows in tables.items():
+        if table in unused:
+            continue
         rows = rows.select(F.lit(table).alias("table"), "key", F.col("path").alias("dst"))
         known = rows if known is None else known.unionByName(rows)
     hits = wanted.join(known, ["table", "key"]).withColumn("first", F.min(F.struct("stage", "at")).over(Window.partitionBy("dep_id")))

@@ -35,11 +35,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from codequarry.plans import code_catalog, index_catalog
+
+    return QUERIES | code_catalog.QUERIES | index_catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from codequarry.plans import code_catalog, index_catalog
+
+    return ORACLE | code_catalog.ORACLE | index_catalog.ORACLE
 
 
 # adapters
@@ -59,37 +63,53 @@ def part_files(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select(F.col("p_partkey").alias("file_id"), _path().alias("path"), F.lit("python").alias("language"), F.col("p_size").cast("long").alias("size"), "p_type", "p_name")
 
 
-def part_dependencies(spark: SparkSession, d: str, a: int | None = 48, b: int | None = 0) -> DataFrame:
-    """(source_file_id, target_file_id, type): lines of an order that follow each other, of quantities from a and b, or of any where these are None."""
-    line = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-    left = (line if a is None else line.filter(F.col("l_quantity") >= a)).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("source_file_id"))
-    right = (line if b is None else line.filter(F.col("l_quantity") >= b)).select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target_file_id"), F.when(F.col("l_returnflag") == "A", "load").when(F.col("l_returnflag") == "R", "inherit").otherwise("import").alias("type"))
+def part_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """(source_file_id, target_file_id, type): lines of an order that follow each other."""
+    line = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    left = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("source_file_id"))
+    right = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("target_file_id"), F.when(F.col("l_returnflag") == "A", "load").when(F.col("l_returnflag") == "R", "inherit").otherwise("import").alias("type"))
     return left.join(right, ["l_orderkey", "l_linenumber"]).select("source_file_id", "target_file_id", "type")
 
 
-def part_pairs(spark: SparkSession, d: str, a: int | None = 48, b: int | None = 0) -> DataFrame:
+def part_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, type) as paths."""
     names = part_files(spark, d).select("file_id", "path")
-    deps = part_dependencies(spark, d, a, b)
+    deps = part_dependencies(spark, d)
     deps = deps.join(names.toDF("source_file_id", "src"), "source_file_id").join(names.toDF("target_file_id", "dst"), "target_file_id")
     return deps.select("src", "dst", "type")
 
 
-def part_edges(spark: SparkSession, d: str, a: int | None = 48, b: int | None = 0) -> DataFrame:
-    return G.fold_edges(part_pairs(spark, d, a, b))
+def part_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.fold_edges(part_pairs(spark, d))
+
+
+def part_steps(spark: SparkSession, d: str, *steps: tuple[int, str]) -> DataFrame:
+    """(src, dst): each part leads to one other part for each (factor, what is added), over all parts."""
+    files = part_files(spark, d).select("file_id", "path", "size")
+    n = files.count()
+    out = None
+    for factor, add in steps:
+        to = files.select(F.col("path").alias("src"), F.pmod(F.col("file_id") * factor + F.expr(add), F.lit(n)).alias("file_id"))
+        one = to.join(files.select("file_id", F.col("path").alias("dst")), "file_id").select("src", "dst")
+        out = one if out is None else out.union(one)
+    return out.distinct()
 
 
 _FILES = "files AS (SELECT p_partkey AS file_id, lower(replace(p_brand, '#', '')) || '/' || lower(p_type) || '/part_' || p_partkey || '.py' AS path, lower(replace(p_brand, '#', '')) AS module, p_type, p_size FROM part)"
 
 
-def _pairs(a: int = 48, b: int = 0) -> str:
+def _pairs() -> str:
     return f"""{_FILES}, pairs AS (SELECT s.path AS src, t.path AS dst, CASE y.l_returnflag WHEN 'A' THEN 'load' WHEN 'R' THEN 'inherit' ELSE 'import' END AS type
-  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber JOIN files s ON s.file_id = x.l_partkey JOIN files t ON t.file_id = y.l_partkey
-  WHERE x.l_quantity >= {a} AND y.l_quantity >= {b})"""
+  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber + 1 = y.l_linenumber JOIN files s ON s.file_id = x.l_partkey JOIN files t ON t.file_id = y.l_partkey)"""
+
 
+def _edges() -> str:
+    return f"{_pairs()}, edges AS (SELECT src, dst, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) AS weight FROM pairs WHERE src <> dst GROUP BY src, dst)"
 
-def _edges(a: int = 48, b: int = 0) -> str:
-    return f"{_pairs(a, b)}, edges AS (SELECT src, dst, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) AS weight FROM pairs WHERE src <> dst GROUP BY src, dst)"
+
+def _steps(*steps: tuple[int, str]) -> str:
+    some = " UNION ".join(f"SELECT s.path AS src, t.path AS dst FROM files s JOIN files t ON t.file_id = (s.file_id * {k} + {add.replace('size', 's.p_size')}) % (SELECT count(*) FROM files)" for k, add in steps)
+    return f"{_FILES}, edges AS (SELECT DISTINCT * FROM ({some}) WHERE src <> dst)"
 
 
 def text_files(spark: SparkSession, d: str) -> DataFrame:
@@ -163,69 +183,89 @@ def envelopes_by_layer(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {_edges()} SELECT * FROM edges")
-def edge_fold(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return part_edges(spark, d, *least).withColumn("types", F.array_join("types", ","))
+def edge_fold(spark: SparkSession, d: str) -> DataFrame:
+    return part_edges(spark, d).withColumn("types", F.array_join("types", ","))
 
 
 @query(f"WITH {_edges()} SELECT * FROM edges WHERE types <> 'load'")
-def strong_edges(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return G.strong_edges(part_edges(spark, d, *least)).withColumn("types", F.array_join("types", ","))
+def strong_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.strong_edges(part_edges(spark, d)).withColumn("types", F.array_join("types", ","))
 
 
 @query(f"""WITH {_edges()}, p AS (SELECT DISTINCT split_part(src, '/', 1) AS a, split_part(dst, '/', 1) AS b FROM edges WHERE split_part(src, '/', 1) <> split_part(dst, '/', 1)),
 m AS (SELECT DISTINCT module FROM files), c AS (SELECT module, (SELECT count(*) FROM p WHERE b = module) AS ca, (SELECT count(*) FROM p WHERE a = module) AS ce FROM m)
 SELECT module, CAST(ca AS BIGINT) AS afferent, CAST(ce AS BIGINT) AS efferent, CASE WHEN ca + ce > 0 THEN round_even(CAST(ce AS DOUBLE) / (ca + ce), 3) ELSE 0.0 END AS instability FROM c""")
-def coupling_metrics(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return G.coupling(part_files(spark, d), part_edges(spark, d, *least))
+def coupling_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return G.coupling(part_files(spark, d), part_edges(spark, d))
 
 
-_NO_IMPORTERS = f"WITH {_edges()}, o AS (SELECT path, EXISTS (SELECT 1 FROM pairs WHERE src = path AND type = 'load') AS entry FROM files WHERE path NOT IN (SELECT dst FROM edges) AND path IN (SELECT src FROM edges)) SELECT path FROM o WHERE "
+_ONE = ((31, "size"),)
+_NO_IMPORTERS = f"WITH {_steps(*_ONE)}, o AS (SELECT path, p_size % 3 = 0 AS entry FROM files WHERE path NOT IN (SELECT dst FROM edges) AND path IN (SELECT src FROM edges)) SELECT path FROM o WHERE "
 
 
-def _loaders(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return part_pairs(spark, d, *least).filter("type = 'load'").select(F.col("src").alias("path"))
+def _stepping(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, edges from each part to one other, and the files that load (every third size)."""
+    files = part_files(spark, d)
+    return files, G.fold_edges(part_steps(spark, d, *_ONE).withColumn("type", F.lit("import"))), files.filter("size % 3 = 0").select("path")
 
 
 @query(_NO_IMPORTERS + "NOT entry")
-def orphan_files(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return G.orphan_files(part_files(spark, d), part_edges(spark, d, *least), _loaders(spark, d, *least))
+def orphan_files(spark: SparkSession, d: str) -> DataFrame:
+    return G.orphan_files(*_stepping(spark, d))
 
 
 @query(_NO_IMPORTERS + "entry")
-def entry_candidates(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return G.entry_candidates(part_files(spark, d), part_edges(spark, d, *least), _loaders(spark, d, *least))
+def entry_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return G.entry_candidates(*_stepping(spark, d))
 
 
 @query(f"""WITH {_edges()}, l(kind, layer, n) AS (VALUES ('ECONOMY', 'view', 0), ('STANDARD', 'controller', 1), ('SMALL', 'service', 2), ('MEDIUM', 'repository', 3), ('LARGE', 'model', 4))
 SELECT src AS source_file, a.layer AS source_layer, dst AS target_name, b.layer AS target_layer, a.layer || ' -> ' || b.layer || ' (reversed dependency)' AS violation
 FROM edges JOIN files s ON s.path = src JOIN files t ON t.path = dst JOIN l a ON a.kind = s.p_type JOIN l b ON b.kind = t.p_type WHERE a.n > b.n""")
-def layer_violations(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return G.layer_violations(part_edges(spark, d, *least), custom={k.lower(): {"views": "view", "controllers": "controller", "services": "service", "repositories": "repository", "models": "model"}[v] for k, v in _LAYER.items()})
+def layer_violations(spark: SparkSession, d: str) -> DataFrame:
+    return G.layer_violations(part_edges(spark, d), custom={k.lower(): {"views": "view", "controllers": "controller", "services": "service", "repositories": "repository", "models": "model"}[v] for k, v in _LAYER.items()})
 
 
 @query(f"WITH {_edges()} SELECT CAST(n AS BIGINT) AS node_count, CAST(e AS BIGINT) AS edge_count, round_even(e / (n * CAST(n - 1 AS DOUBLE)), 6) AS density FROM (SELECT count(*) AS n FROM files), (SELECT count(*) AS e FROM edges)")
-def graph_density(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return G.density(part_files(spark, d), part_edges(spark, d, *least))
+def graph_density(spark: SparkSession, d: str) -> DataFrame:
+    return G.density(part_files(spark, d), part_edges(spark, d))
+
 
+_TWO = ((31, "size"), (17, "7"))
 
-@query(f"""WITH RECURSIVE {_edges(42, 25)}, e AS (SELECT src, dst FROM edges),
+
+@query(f"""WITH RECURSIVE {_steps(*_TWO)}, e AS (SELECT src, dst FROM edges),
 p(root, last, path, n) AS (SELECT src, dst, [src, dst], 2 FROM e WHERE src < dst UNION ALL SELECT root, e.dst, list_append(path, e.dst), n + 1 FROM p JOIN e ON e.src = p.last WHERE n < 6 AND e.dst > root AND NOT list_contains(path, e.dst))
 SELECT array_to_string(path, ' ') AS cycle, CAST(n AS INTEGER) AS length FROM p JOIN e ON e.src = p.last AND e.dst = p.root""")
 def cycles_bounded(spark: SparkSession, d: str) -> DataFrame:
-    return G.cycles(part_edges(spark, d, 42, 25), most=1 << 30).select(F.array_join("cycle", " ").alias("cycle"), "length")
+    """All cycles of up to six files where each part leads to two others."""
+    return G.cycles(part_steps(spark, d, *_TWO), most=1 << 30).select(F.array_join("cycle", " ").alias("cycle"), "length")
+
+
+@query()
+def cycles_giant(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of all lines: its giant component comes as one row with its first files, cycles of others up to the report's cap."""
+    edges = part_edges(spark, d)
+    return G.cycles(edges, components=G.strong_components(edges)).select(F.array_join("cycle", " ").alias("cycle"), "length", "giant")
 
 
-@query(f"""WITH RECURSIVE {_edges(42, 25)}, t0 AS (SELECT src, dst FROM edges), t1 AS (SELECT * FROM t0 WHERE src IN (SELECT dst FROM t0) AND dst IN (SELECT src FROM t0)), t2 AS (SELECT * FROM t1 WHERE src IN (SELECT dst FROM t1) AND dst IN (SELECT src FROM t1)),
-t3 AS (SELECT * FROM t2 WHERE src IN (SELECT dst FROM t2) AND dst IN (SELECT src FROM t2)), t4 AS (SELECT * FROM t3 WHERE src IN (SELECT dst FROM t3) AND dst IN (SELECT src FROM t3)),
-r(a, b) AS (SELECT src, dst FROM t4 UNION SELECT r.a, t4.dst FROM r JOIN t4 ON t4.src = r.b), s AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
+@query(f"""WITH RECURSIVE {_steps(*_ONE)},
+r(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, edges.dst FROM r JOIN edges ON edges.src = r.b), s AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
 SELECT a AS path, min(b) AS component, CAST(count(*) AS BIGINT) AS size FROM s GROUP BY a HAVING count(*) > 1""")
-def scc_members(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return G.strong_components(part_edges(spark, d, *(least or (42, 25))))
+def scc_members(spark: SparkSession, d: str) -> DataFrame:
+    """Strong components where each part leads to one other."""
+    return G.strong_components(part_steps(spark, d, *_ONE).withColumn("types", F.array(F.lit("import"))))
+
+
+@query()
+def scc_members_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Strong components of the graph of all lines, whose closure is too large for SQL."""
+    return G.strong_components(part_edges(spark, d))
 
 
 @query()
-def betweenness_topk(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return G.betweenness(part_files(spark, d), part_edges(spark, d, *least))
+def betweenness_topk(spark: SparkSession, d: str) -> DataFrame:
+    return G.betweenness(part_files(spark, d), part_edges(spark, d))
 
 
 # resolving
@@ -294,56 +334,6 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
     return text_files(spark, d).filter("content is not null").select("file_id", "path", F.posexplode(F.split("content", "\n")).alias("no", "line")).withColumn("no", F.col("no") + 1)
 
 
-@query(f"WITH {_LINES}, x AS (SELECT doc_id, split_part(text, ' ', 1) AS name, CAST(n_chars % 5 + 1 AS BIGINT) AS no FROM documents WHERE text IS NOT NULL) SELECT x.doc_id AS file_id, x.name, x.no AS line FROM x JOIN lines l ON l.doc_id = x.doc_id AND l.no = x.no WHERE contains(l.line, x.name)")
-def stale_row_guard(spark: SparkSession, d: str) -> DataFrame:
-    rows = text_files(spark, d).filter("content is not null").select("file_id", F.substring_index("content", " ", 1).alias("name"), (F.col("size") % 5 + 1).alias("no"))
-    return rows.join(text_lines(spark, d).select("file_id", F.col("no").cast("long").alias("no"), "line"), ["file_id", "no"]).filter(F.expr("contains(line, name)")).select("file_id", "name", F.col("no").alias("line"))
-
-
-# texts
-
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-
-
-@query(f"WITH {_LINES} SELECT DISTINCT path, no AS line, unnest(regexp_extract_all(line, '(?:^|[^0-9.])({_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET})(?:$|[^0-9.])', 1)) AS value FROM lines")
-def hardcoded_ips(spark: SparkSession, d: str) -> DataFrame:
-    ip = F.expr(rf"regexp_extract_all(line, r'(?<![0-9.])({_OCTET}(?:[.]{_OCTET}){{3}})(?![0-9.])', 1)")
-    return text_lines(spark, d).select("path", F.col("no").cast("long").alias("line"), F.explode(ip).alias("value")).distinct()
-
-
-@query(f"WITH {_LINES} SELECT line AS value, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT path) AS BIGINT) AS files, CAST(count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS BIGINT) AS dirs, min(path) AS first_path FROM lines WHERE length(trim(line)) >= 4 GROUP BY line HAVING count(DISTINCT path) >= 3 AND count(DISTINCT regexp_replace(path, '/[^/]*$', '')) >= 2")
-def repeated_literals(spark: SparkSession, d: str) -> DataFrame:
-    lines = text_lines(spark, d).filter(F.length(F.trim("line")) >= 4)
-    counted = lines.groupBy(F.col("line").alias("value")).agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"), F.count_distinct(T.parent(F.col("path"))).alias("dirs"), F.min("path").alias("first_path"))
-    return counted.filter("files >= 3 and dirs >= 2")
-
-
-@query("""WITH f AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS value FROM pages), c AS (SELECT value, count(*) AS n, min(page_id) AS first_page FROM f GROUP BY value)
-SELECT value, CAST(n AS BIGINT) AS n, first_page FROM c QUALIFY row_number() OVER (ORDER BY n DESC, value) <= 50""")
-def contract_inventory(spark: SparkSession, d: str) -> DataFrame:
-    pages = _t(spark, d, "pages")
-    found = pages.select(F.lit("routes").alias("category"), F.col("page_id").alias("path"), F.posexplode(F.expr("regexp_extract_all(html, r'href=\"(/[^\"]*)\"', 1)")).alias("ord", "value")).withColumn("line", F.lit(1))
-    return C.inventory(found).select("value", F.col("count").alias("n"), F.col("locations")[0]["file"].alias("first_page"))
-
-
-@query("SELECT conv_id, turn, role, coalesce(string_agg(role, '>') OVER w, '') AS before FROM conversations WHERE role IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
-def magic_context_window(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(-3, -1)
-    return _t(spark, d, "conversations").filter("role is not null").select("conv_id", "turn", "role", F.concat_ws(">", F.collect_list("role").over(w)).alias("before"))
-
-
-@query(f"""WITH h AS (SELECT page_id, unnest(range(1, len(string_split(html, '>')) + 1)) AS no, unnest(string_split(html, '>')) AS part FROM pages WHERE html IS NOT NULL),
-m AS (SELECT page_id, no, part, CASE WHEN part LIKE '%<script%' THEN 1 WHEN part LIKE '%</script%' THEN 0 END AS mark FROM h),
-s AS (SELECT page_id, no, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY no), 0) AS inside, mark FROM m)
-SELECT page_id, CAST(count(*) AS BIGINT) AS parts, CAST(sum(CASE WHEN inside = 1 AND mark IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS in_script FROM s GROUP BY page_id""")
-def script_mask(spark: SparkSession, d: str) -> DataFrame:
-    parts = _t(spark, d, "pages").filter("html is not null").select("page_id", F.posexplode(F.split("html", ">")).alias("no", "part"))
-    mark = F.when(F.col("part").like("%<script%"), 1).when(F.col("part").like("%</script%"), 0)
-    w = Window.partitionBy("page_id").orderBy("no")
-    rows = parts.select("page_id", "no", mark.alias("mark")).withColumn("inside", F.coalesce(F.last("mark", ignorenulls=True).over(w), F.lit(0)))
-    return rows.groupBy("page_id").agg(F.count("*").alias("parts"), F.count_if((F.col("inside") == 1) & F.col("mark").isNull()).alias("in_script"))
-
-
 # findings
 
 
@@ -400,13 +390,6 @@ def external_normalise(spark: SparkSession, d: str) -> DataFrame:
     return E.ruff(payloads).select("tool", "rule_id", "severity", "file_path", "line", "message", "fingerprint")
 
 
-@query("""WITH f AS (SELECT sha256('ruff:' || '{"event": "' || event_type || '", "user": ' || user_id || '}') AS fingerprint, event_id FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL) SELECT fingerprint, min(event_id) AS event_id, CAST(count(*) - 1 AS BIGINT) AS dropped FROM f GROUP BY fingerprint""")
-def fingerprint_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "events").filter("event_type is not null and user_id is not null")
-    mark = E.stable_fingerprint("ruff", event=E.quoted(F.col("event_type")), user=F.col("user_id").cast("string"))
-    return e.select(mark.alias("fingerprint"), "event_id").groupBy("fingerprint").agg(F.min("event_id").alias("event_id"), (F.count("*") - 1).alias("dropped"))
-
-
 @query(f"WITH {_FINDINGS} SELECT file_path, line, category, severity FROM findings WHERE category IN ('hardcoded_ip_url', 'env_outside_config') ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, file_path, line, name LIMIT 10")
 def security_top10(spark: SparkSession, d: str) -> DataFrame:
     return N.security_top(doc_findings(spark, d).withColumn("value", F.col("name"))).select("file_path", "line", "category", "severity")
@@ -439,22 +422,23 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
 
 _METRICS = f"""WITH {_edges()}, l(kind, n) AS (VALUES ('ECONOMY', 0), ('STANDARD', 1), ('SMALL', 2), ('MEDIUM', 3), ('LARGE', 4)),
 v AS (SELECT count(*) AS n FROM edges JOIN files s ON s.path = src JOIN files t ON t.path = dst JOIN l a ON a.kind = s.p_type JOIN l b ON b.kind = t.p_type WHERE a.n > b.n),
-o AS (SELECT count(*) AS n FROM files WHERE path NOT IN (SELECT dst FROM edges) AND path IN (SELECT src FROM edges) AND NOT EXISTS (SELECT 1 FROM pairs WHERE src = path AND type = 'load')), w AS (SELECT count(*) AS n FROM documents WHERE lang = 'fr')"""
+steps AS (SELECT DISTINCT s.path AS src, t.path AS dst FROM files s JOIN files t ON t.file_id = (s.file_id * 31 + s.p_size) % (SELECT count(*) FROM files) WHERE s.path <> t.path),
+o AS (SELECT count(*) AS n FROM files WHERE path NOT IN (SELECT dst FROM steps) AND path IN (SELECT src FROM steps) AND p_size % 3 > 0), w AS (SELECT count(*) AS n FROM documents WHERE lang = 'fr')"""
 
 
-def _metric_row(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
+def _metric_row(spark: SparkSession, d: str) -> DataFrame:
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    return n(layer_violations(spark, d, *least), "violations").crossJoin(n(G.without_importers(part_files(spark, d), part_edges(spark, d, *least), _loaders(spark, d, *least)).filter("not entry"), "orphans")).crossJoin(n(doc_findings(spark, d).filter("category = 'hardcoded_ip_url'"), "hardwiring"))
+    return n(layer_violations(spark, d), "violations").crossJoin(n(G.without_importers(*_stepping(spark, d)).filter("not entry"), "orphans")).crossJoin(n(doc_findings(spark, d).filter("category = 'hardcoded_ip_url'"), "hardwiring"))
 
 
 @query(_METRICS + " SELECT CAST(v.n AS BIGINT) AS violations, CAST(o.n AS BIGINT) AS orphans, CAST(w.n AS BIGINT) AS hardwiring, CAST(v.n * 12 + o.n * 2 + w.n AS DOUBLE) AS score FROM v, o, w")
-def metric_vector(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    return _metric_row(spark, d, *least).withColumn("score", N.score({k: N.SCORE[k] for k in ("violations", "orphans", "hardwiring")}))
+def metric_vector(spark: SparkSession, d: str) -> DataFrame:
+    return _metric_row(spark, d).withColumn("score", N.score({k: N.SCORE[k] for k in ("violations", "orphans", "hardwiring")}))
 
 
 @query(_METRICS + " SELECT v.n > 0 OR o.n > 1 AS accepted, CAST(v.n * 12 + o.n * 2 + w.n AS DOUBLE) AS b_score, CAST(v.n // 2 * 12 + (o.n - o.n // 2) * 2 + w.n AS DOUBLE) AS a_score FROM v, o, w")
-def pareto_gate(spark: SparkSession, d: str, *least: int | None) -> DataFrame:
-    before = _metric_row(spark, d, *least)
+def pareto_gate(spark: SparkSession, d: str) -> DataFrame:
+    before = _metric_row(spark, d)
     after = before.select(F.expr("violations div 2").alias("violations"), F.expr("orphans - orphans div 2").alias("orphans"), "hardwiring")
     return N.pareto(before, after, ["violations", "orphans", "hardwiring"])
 
@@ -464,21 +448,3 @@ def contract_merge(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "part")
     patch = p.select(F.lit("hooks").alias("category"), F.concat(F.lit(" "), "p_type").alias("value")).union(p.select(F.lit("env_keys"), F.concat("p_brand", F.lit(" ")))).union(p.select(F.lit("no_such_field"), F.col("p_name")))
     return C.merge_lookup(_t(spark, d, "events").select(F.lit("routes").alias("category"), F.col("event_type").alias("value")), patch)
-
-
-# The graph queries over all lines. scc_members has no SQL there: the closure it takes is too large.
-
-WHOLE = "edge_fold strong_edges coupling_metrics orphan_files entry_candidates layer_violations graph_density scc_members betweenness_topk metric_vector pareto_gate".split()
-
-
-def _whole(name: str) -> None:
-    def f(spark: SparkSession, d: str) -> DataFrame:
-        return QUERIES[name](spark, d, None, None)
-
-    QUERIES[f"{name}_whole"] = f
-    if name in ORACLE and name != "scc_members":
-        ORACLE[f"{name}_whole"] = ORACLE[name].replace("\n  WHERE x.l_quantity >= 48 AND y.l_quantity >= 0)", ")")
-
-
-for _name in WHOLE:
-    _whole(_name)

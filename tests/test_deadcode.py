@@ -79,3 +79,21 @@ def test_partitions_and_order_do_not_matter(spark):
     files, symbols, deps = code_base(spark, {"src/lib.rs": RUST_LIB, "src/user.rs": "fn f() { let k: Kept; }\n", "a.php": "<?php\nuse A\\Gone;\nclass A {\n    private $idle;\n}\n", "b.py": "import os\n"})
     one = rows(D.dead_code(files.repartition(1), symbols.repartition(1), deps), "category", "name", "line")
     assert one == rows(D.dead_code(files.repartition(7).orderBy(F.desc("path")), symbols.repartition(5), deps.repartition(3)), "category", "name", "line") and len(one) == 8
+
+
+def test_suffix_references_against_like(spark):
+    """All pairs by SQLite's LIKE, which the operator's keys must not lose."""
+    import random
+    import sqlite3
+
+    from codequarry.operators.deadcode import suffix_referenced
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("aB_c") for _ in range(rng.randint(1, n)))
+    names = sorted({(word(5), rng.randint(1, 4)) for _ in range(60)} | {("_", 1), ("__", 2), ("a%b", 3)})
+    targets = sorted({(word(8), rng.randint(1, 4)) for _ in range(60)} | {("xa%b", 1), ("xaZb", 1)})
+    db = sqlite3.connect(":memory:")
+    like = lambda t, n: db.execute("SELECT ? LIKE '%' || replace(?, '%', '\\%') ESCAPE '\\'", (t, n)).fetchone()[0]
+    want = {(n, f) for n, f in names if any(g != f and like(t, n) for t, g in targets)}
+    got = suffix_referenced(spark.createDataFrame(names, "name string, file_id long"), spark.createDataFrame(targets, "target_name string, source_file_id long"))
+    assert {tuple(r) for r in got.collect()} == want and 0 < len(want) < len(names)
