@@ -43,13 +43,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all runs in one process (tests)."""
     sc = spark.sparkContext
     if path := spark.conf.get("spark.checkpoint.dir", None):
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(path)
         return path
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = f"file:///tmp/codequarry-{os.getpid()}"
         sc.setCheckpointDir(own)
         _MADE.append(own)
