@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from codequarry.llm import bagminhash, chat_format, decontaminate, language_id, media, packing, pii, quality, suffix_dedup, url_filter
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,13 +55,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_suffix_array_dedup, op2_benchmark_decontamination, op3_language_id, op4_media_columns, op5_quality_classifier, op6_pii, op7_url_filter, op8_minhash_near_dedup, op9_best_fit_packing, op10_chat_formatting)
-} | {"pipeline": corpus_pipeline.run}
+}
 
 ORACLE: dict[str, str] = {
     "op1_suffix_array_dedup": suffix_dedup.oracle(),
     "op4_media_columns": "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS size, sha256(html) AS sha256, CAST(NULL AS VARCHAR) AS error FROM pages",
     "op7_url_filter": url_filter.oracle(),
-} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
