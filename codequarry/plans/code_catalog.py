@@ -28,19 +28,16 @@ def query(sql: str | None = None):
     return add
 
 
-N = F.col("p_partkey").cast("string")
-
-
 def text(template: str, n: Column | None = None) -> Column:
     """The template with the row's number for @."""
-    return F.replace(F.lit(template), F.lit("@"), N if n is None else n)
+    return F.replace(F.lit(template), F.lit("@"), key().cast("string") if n is None else n)
 
 
-def pick(key: Column, *some: Column | str) -> Column:
-    """The alternative that the key's remainder tells."""
-    cases = F.when(key % len(some) == 0, text(some[0]) if isinstance(some[0], str) else some[0])
+def pick(by: Column, *some: Column | str) -> Column:
+    """The alternative that the number's remainder tells."""
+    cases = F.when(by % len(some) == 0, text(some[0]) if isinstance(some[0], str) else some[0])
     for i, x in enumerate(some[1:], 1):
-        cases = cases.when(key % len(some) == i, text(x) if isinstance(x, str) else x)
+        cases = cases.when(by % len(some) == i, text(x) if isinstance(x, str) else x)
     return cases
 
 
@@ -49,7 +46,14 @@ def part_code(spark: SparkSession, d: str, path: Column, language: Column | str,
     return _t(spark, d, "part").select(path.alias("path"), (F.lit(language) if isinstance(language, str) else language).alias("language"), content.alias("content")).withColumn("file_id", X.file_id())
 
 
-KEY, SIZE = F.col("p_partkey"), F.col("p_size")
+
+def key() -> Column:
+    return F.col("p_partkey")
+
+
+def size() -> Column:
+    return F.col("p_size")
+
 
 # hard-wired values
 
@@ -60,12 +64,12 @@ SELECT file_path, CAST(2 AS INTEGER) AS line, CASE kind WHEN 1 THEN 'env()' ELSE
 UNION ALL SELECT file_path, 4, CASE kind WHEN 1 THEN 'env()' ELSE 'env' END, 'high', 'high' FROM p WHERE place IN (0, 3) AND kind < 3""")
 def environment_reads(spark: SparkSession, d: str) -> DataFrame:
     """Line 2 reads a variable, line 3 does so in a comment, line 4 with a default (in three languages; without one commands may read)."""
-    path = F.concat(pick(SIZE, "src/", "config/", "tests/", "app/Console/Commands/"), text("unit_@"), pick(KEY, ".py", ".php", ".rb", ".rs", ".ts"))
+    path = F.concat(pick(size(), "src/", "config/", "tests/", "app/Console/Commands/"), text("unit_@"), pick(key(), ".py", ".php", ".rb", ".rs", ".ts"))
     content = pick(
-        KEY, 'import os\nx = os.getenv("PART_@")\n# os.getenv("PART_@")\ny = os.environ.get("PART_@", "none")', "<?php\n$x = env('PART_@');\n// env('PART_@')\n$y = env('PART_@', 'none');", 'x = 1\ny = ENV["PART_@"]\n# ENV["PART_@"]\nz = ENV.fetch("PART_@", "none")',
+        key(), 'import os\nx = os.getenv("PART_@")\n# os.getenv("PART_@")\ny = os.environ.get("PART_@", "none")', "<?php\n$x = env('PART_@');\n// env('PART_@')\n$y = env('PART_@', 'none');", 'x = 1\ny = ENV["PART_@"]\n# ENV["PART_@"]\nz = ENV.fetch("PART_@", "none")',
         'fn f() {\nlet x = std::env::var("PART_@");\n// std::env::var("PART_@")\n}', "const a = 1;\nconst x = process.env.PART_@;\n// process.env.PART_@\nconst m = import.meta.env.MODE;",
     )
-    files = part_code(spark, d, path, pick(KEY, "python", "php", "ruby", "rust", "typescript"), content)
+    files = part_code(spark, d, path, pick(key(), "python", "php", "ruby", "rust", "typescript"), content)
     return H.scan(files).filter("category = 'env_outside_config'").select("file_path", "line", "value", "severity", "confidence")
 
 
@@ -75,10 +79,10 @@ UNION ALL SELECT file_path, 3, CASE kind WHEN 0 THEN 'https://api.shop' || n ||
   FROM f WHERE p_size % 3 < 2 AND kind IN (0, 1, 4, 5)""")
 def network_addresses(spark: SparkSession, d: str) -> DataFrame:
     """An address of the row's numbers, one of the harmless kinds, and a URL that is a sink, plain, an identifier, a comment, templated, or of a registry."""
-    ip = F.concat(F.lit("$ip = '10."), SIZE.cast("string"), F.lit("."), (KEY % 256).cast("string"), F.lit("."), (F.expr("p_partkey div 256") % 256).cast("string"), F.lit("';"))
-    url = pick(KEY, "$endpoint = 'https://api.shop@.io/v1';", "$u = 'https://acme@.io/x';", "$links['x'] = 'https://a@.io/b';", "// 'https://c@.io/y'", "$u = 'http://{$host}.d@.io';", "$providers = array('https://publish@.io/oembed');")
+    ip = F.concat(F.lit("$ip = '10."), size().cast("string"), F.lit("."), (key() % 256).cast("string"), F.lit("."), (F.expr("p_partkey div 256") % 256).cast("string"), F.lit("';"))
+    url = pick(key(), "$endpoint = 'https://api.shop@.io/v1';", "$u = 'https://acme@.io/x';", "$links['x'] = 'https://a@.io/b';", "// 'https://c@.io/y'", "$u = 'http://{$host}.d@.io';", "$providers = array('https://publish@.io/oembed');")
     content = F.concat_ws("\n", F.lit("<?php"), ip, url, F.lit("$a = '127.0.0.1'; $b = 'http://www.w3.org/ns';"), F.lit("$v = 1.2.3.4.5;"))
-    files = part_code(spark, d, F.concat(pick(SIZE, "src/", "src/", "config/"), text("net_@.php")), "php", content)
+    files = part_code(spark, d, F.concat(pick(size(), "src/", "src/", "config/"), text("net_@.php")), "php", content)
     return H.scan(files).filter("category = 'hardcoded_ip_url'").select("file_path", "line", "value", "severity", "confidence")
 
 
@@ -88,7 +92,7 @@ FROM f WHERE kind IN (0, 1, 3, 6)""")
 def magic_strings(spark: SparkSession, d: str) -> DataFrame:
     """Comparisons and case labels; a switch over fields silences labels up to three lines below it (kind 2), not four (kind 3)."""
     content = pick(
-        KEY, '<?php\nif ($mode == "release@") {', "<?php\nswitch ($kind) {\ncase 'shipped-late-@':", "<?php\nswitch ($fieldType) {\n$a = 1;\n\n$b = 2;\ncase 'near-by-@':", "<?php\nswitch ($fieldType) {\n$a = 1;\n$b = 2;\n$c = 3;\ncase 'far-off-@':", "<?php\n// x == 'released@'",
+        key(), '<?php\nif ($mode == "release@") {', "<?php\nswitch ($kind) {\ncase 'shipped-late-@':", "<?php\nswitch ($fieldType) {\n$a = 1;\n\n$b = 2;\ncase 'near-by-@':", "<?php\nswitch ($fieldType) {\n$a = 1;\n$b = 2;\n$c = 3;\ncase 'far-off-@':", "<?php\n// x == 'released@'",
         "<?php\nif ($x == 'ab') {", "<?php\nif ($kind === 'queue.failed.@') {", "<?php\nif ($x == '12345' || $y == 'created_at') {",
     )
     files = part_code(spark, d, text("src/magic_@.php"), "php", content)
@@ -120,7 +124,7 @@ def repeated_literals(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'src/c_' || p_partkey || '.vue' AS file_path, CAST(CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 2 END AS INTEGER) AS line FROM part")
 def script_mask(spark: SparkSession, d: str) -> DataFrame:
     """Of single-file components only the script counts, wherever it stands."""
-    content = pick(KEY, "<template>\n{{ process.env.A_@ }}\n</template>\n<script>\nconst a = process.env.B_@;\n</script>", "<script setup>\nconst a = process.env.B_@;\n</script>\n<template>\n{{ process.env.A_@ }}\n</template>")
+    content = pick(key(), "<template>\n{{ process.env.A_@ }}\n</template>\n<script>\nconst a = process.env.B_@;\n</script>", "<script setup>\nconst a = process.env.B_@;\n</script>\n<template>\n{{ process.env.A_@ }}\n</template>")
     return H.scan(part_code(spark, d, text("src/c_@.vue"), "vue", content)).select("file_path", "line")
 
 
@@ -128,8 +132,8 @@ def script_mask(spark: SparkSession, d: str) -> DataFrame:
 SELECT CASE WHEN n % 4 = 3 THEN 'src/s_' || n || '.php' ELSE 'src/s_' || n || '.js' END AS file_path, CAST(2 AS INTEGER) AS line, 'https://host' || n || '.io/a' AS value FROM f WHERE n % 4 IN (0, 3)""")
 def comment_stripping(spark: SparkSession, d: str) -> DataFrame:
     """A trailing comment isn't code, a URL's slashes are no comment; here by the compared literals and the URLs that are left."""
-    content = pick(KEY, "a\nfetchAll('https://host@.io/a'); // 'b'", "a\n// fetch('https://host@.io/a')", "a\n * 'https://host@.io/a'", "<?php\n$u = 'https://host@.io/a'; # c")
-    files = part_code(spark, d, F.concat(text("src/s_@"), pick(KEY, ".js", ".js", ".js", ".php")), pick(KEY, "javascript", "javascript", "javascript", "php"), content)
+    content = pick(key(), "a\nfetchAll('https://host@.io/a'); // 'b'", "a\n// fetch('https://host@.io/a')", "a\n * 'https://host@.io/a'", "<?php\n$u = 'https://host@.io/a'; # c")
+    files = part_code(spark, d, F.concat(text("src/s_@"), pick(key(), ".js", ".js", ".js", ".php")), pick(key(), "javascript", "javascript", "javascript", "php"), content)
     return H.scan(files).filter("category = 'hardcoded_ip_url'").select("file_path", "line", "value")
 
 
@@ -137,7 +141,7 @@ def comment_stripping(spark: SparkSession, d: str) -> DataFrame:
 def security_summary(spark: SparkSession, d: str) -> DataFrame:
     from codequarry.operators import findings as G
 
-    content = pick(SIZE, "<?php\n$ip = '10.1.2.3';", "<?php\n$x = env('PART_@');")
+    content = pick(size(), "<?php\n$ip = '10.1.2.3';", "<?php\n$x = env('PART_@');")
     return G.security_summary(H.scan(part_code(spark, d, text("src/sec_@.php"), "php", content)))
 
 
@@ -153,11 +157,11 @@ UNION ALL SELECT path, unnest(['routes', 'env_keys', 'symbolic_literals', 'symbo
 
 def contract_files(spark: SparkSession, d: str) -> DataFrame:
     content = pick(
-        KEY, "<?php\nRoute::get('/php/@', 'c');\nadd_action('init_@', 'f');\nregister_widget('widget_@');\n$e = env('KEY_@');\n$c = config('app.k@');\nregister_post(array(\n  'first_@' => 1,\n  'second_@' => 2,\n), 1);\nregister_list(array('x' => 1));".replace("), 1);\nregister_list(array('x' => 1));", "));"),
+        key(), "<?php\nRoute::get('/php/@', 'c');\nadd_action('init_@', 'f');\nregister_widget('widget_@');\n$e = env('KEY_@');\n$c = config('app.k@');\nregister_post(array(\n  'first_@' => 1,\n  'second_@' => 2,\n), 1);\nregister_list(array('x' => 1));".replace("), 1);\nregister_list(array('x' => 1));", "));"),
         'import os\na = os.getenv("KEY_@")\nb = os.environ["KEY_@"]', "get '/rb/@', to: 'x#y'\nmount Engine => '/mount/@'\nENV.fetch('KEY_@')", "router.post('/ts/@', f);\nconst k = process.env.KEY_@;\ntype Kind = 'a@' | 'b@';\nnew CustomEvent('event-@');\nconst v = ['x@', 'y@'] as const;",
     )
-    path = F.concat(pick(SIZE, "src/", "src/", "src/", "src/", "tests/"), text("c_@"), pick(KEY, ".php", ".py", ".rb", ".ts"))
-    return part_code(spark, d, path, pick(KEY, "php", "python", "ruby", "typescript"), content)
+    path = F.concat(pick(size(), "src/", "src/", "src/", "src/", "tests/"), text("c_@"), pick(key(), ".php", ".py", ".rb", ".ts"))
+    return part_code(spark, d, path, pick(key(), "php", "python", "ruby", "typescript"), content)
 
 
 @query(_CONTRACTS)
@@ -174,7 +178,7 @@ def contract_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH f AS (SELECT 'src/r_' || p_partkey || '.php' AS path, '/' || lower(p_type) || '/' || p_size AS value FROM part), c AS (SELECT value, count(*) AS n, min(path) AS first_path FROM f GROUP BY value)
 SELECT value, CAST(n AS BIGINT) AS n, first_path, CAST(2 AS INTEGER) AS line FROM c QUALIFY row_number() OVER (ORDER BY n DESC, value) <= 50""")
 def contract_inventory(spark: SparkSession, d: str) -> DataFrame:
-    content = F.concat(F.lit("<?php\nRoute::get('/"), F.lower("p_type"), F.lit("/"), SIZE.cast("string"), F.lit("', 'c');"))
+    content = F.concat(F.lit("<?php\nRoute::get('/"), F.lower("p_type"), F.lit("/"), size().cast("string"), F.lit("', 'c');"))
     items = C.inventory(C.scan(part_code(spark, d, text("src/r_@.php"), "php", content)))
     return items.select("value", F.col("count").alias("n"), F.col("locations")[0]["file"].alias("first_path"), F.col("locations")[0]["line"].alias("line"))
 
@@ -203,7 +207,7 @@ def unused_php_imports(spark: SparkSession, d: str) -> DataFrame:
     """Used by name, by alias, in an attribute and in a doc comment, or not at all."""
     head = "<?php\nnamespace App;\nuse App\\Dep@;\nuse App\\Other@;\nuse Lib\\Long@ as Short@;\nclass C@ {\n"
     use = "public function run() { new Dep@(); "
-    content = pick(KEY, head + use + "new Short@(); }\n}", head + use + "Other@::go(); }\n}", head + "#[Other@]\n/** @param Short# $x */\n".replace("Short#", "Short@").replace("@param", "\x01param") + use + "}\n}")
+    content = pick(key(), head + use + "new Short@(); }\n}", head + use + "Other@::go(); }\n}", head + "#[Other@]\n/** @param Short# $x */\n".replace("Short#", "Short@").replace("@param", "\x01param") + use + "}\n}")
     found = _dead(spark, d, text("src/C@.php"), "php", F.replace(content, F.lit("\x01"), F.lit("@")))
     return found.filter("category = 'unused_import'")
 
@@ -213,31 +217,31 @@ SELECT file_path, CAST(2 AS INTEGER) AS line, 'sys' AS name, CASE n % 4 WHEN 3 T
 UNION ALL SELECT file_path, 3, 'a.b.c' || n, CASE n % 4 WHEN 3 THEN 'low' ELSE 'high' END FROM f WHERE n % 4 <> 2""")
 def unused_python_imports(spark: SparkSession, d: str) -> DataFrame:
     head = "import os\nimport sys\nfrom a.b import c@\nfrom __future__ import annotations\n"
-    content = pick(KEY, head + "print(os.name, sys.path)", head + "print(os.name)", head + "print(os.name, sys.path)\n__all__ = ['c@']", head + "print(os.name)")
-    path = F.concat(F.lit("pkg/"), pick(KEY, "m_@.py", "m_@.py", "m_@.py", "p@/__init__.py"))
+    content = pick(key(), head + "print(os.name, sys.path)", head + "print(os.name)", head + "print(os.name, sys.path)\n__all__ = ['c@']", head + "print(os.name)")
+    path = F.concat(F.lit("pkg/"), pick(key(), "m_@.py", "m_@.py", "m_@.py", "p@/__init__.py"))
     return _dead(spark, d, path, "python", content).filter("category = 'unused_import'").select("file_path", "line", "name", "confidence")
 
 
 @query("""WITH f AS (SELECT p_partkey AS n, CASE p_size % 4 WHEN 0 THEN 'tests/' ELSE 'src/' END || 'r_' || p_partkey || '.rs' AS file_path, p_size % 4 AS place FROM part)
 SELECT file_path, CAST(1 AS INTEGER) AS line, 'crate::a::Cee' || n AS name FROM f WHERE place > 0 AND n % 2 = 0""")
 def unused_rust_uses(spark: SparkSession, d: str) -> DataFrame:
-    content = pick(KEY, "use crate::a::{Bee@, Cee@};\nfn f() { Bee@::new(); }", "use crate::a::{Bee@, Cee@};\nfn f(x: Cee@) { Bee@::new(); }")
-    return _dead(spark, d, F.concat(pick(SIZE, "tests/", "src/", "src/", "src/"), text("r_@.rs")), "rust", content).filter("category = 'unused_import'").select("file_path", "line", "name")
+    content = pick(key(), "use crate::a::{Bee@, Cee@};\nfn f() { Bee@::new(); }", "use crate::a::{Bee@, Cee@};\nfn f(x: Cee@) { Bee@::new(); }")
+    return _dead(spark, d, F.concat(pick(size(), "tests/", "src/", "src/", "src/"), text("r_@.rs")), "rust", content).filter("category = 'unused_import'").select("file_path", "line", "name")
 
 
 @query("""WITH f AS (SELECT p_partkey AS n, 'src/w_' || p_partkey || CASE p_partkey % 4 WHEN 3 THEN '.d.ts' ELSE '.ts' END AS file_path FROM part)
 SELECT file_path, CAST(1 AS INTEGER) AS line, 'bee' || n AS name, 'high' AS confidence FROM f WHERE n % 4 = 0 UNION ALL SELECT file_path, 2, 'Def' || n, 'high' FROM f WHERE n % 4 IN (0, 1)""")
 def unused_web_imports(spark: SparkSession, d: str) -> DataFrame:
     head = "import { ay@, bee@ } from './x';\nimport Def@ from './y';\n"
-    content = pick(KEY, head + "console.log(ay@);", head + "console.log(ay@, bee@);", head + "console.log(ay@, bee@, Def@);", head + "export {};")
-    return _dead(spark, d, F.concat(text("src/w_@"), pick(KEY, ".ts", ".ts", ".ts", ".d.ts")), "typescript", content).filter("category = 'unused_import'").select("file_path", "line", "name", "confidence")
+    content = pick(key(), head + "console.log(ay@);", head + "console.log(ay@, bee@);", head + "console.log(ay@, bee@, Def@);", head + "export {};")
+    return _dead(spark, d, F.concat(text("src/w_@"), pick(key(), ".ts", ".ts", ".ts", ".d.ts")), "typescript", content).filter("category = 'unused_import'").select("file_path", "line", "name", "confidence")
 
 
 @query("SELECT 'src/V' || p_partkey || '.vue' AS file_path, CAST(CASE p_partkey % 3 WHEN 0 THEN 5 ELSE 4 END AS INTEGER) AS line, CASE p_partkey % 3 WHEN 0 THEN 'OtherCard' ELSE 'UserCard' END AS name, 'medium' AS confidence FROM part WHERE p_partkey % 3 < 2")
 def unused_vue_imports(spark: SparkSession, d: str) -> DataFrame:
     """A component counts as used by its own name and by the dashed one."""
     script = "<script>\nimport UserCard from './a';\nimport OtherCard from './b';\n</script>"
-    content = pick(KEY, "<template>\n<user-card/>\n" + "</template>" + script, "<template>\n<OtherCard/>\n" + "</template>" + script, "<template>\n<user-card/><OtherCard/>\n" + "</template>" + script)
+    content = pick(key(), "<template>\n<user-card/>\n" + "</template>" + script, "<template>\n<OtherCard/>\n" + "</template>" + script, "<template>\n<user-card/><OtherCard/>\n" + "</template>" + script)
     return _dead(spark, d, text("src/V@.vue"), "vue", content).filter("category = 'unused_import'").select("file_path", "line", "name", "confidence")
 
 
@@ -246,7 +250,7 @@ SELECT file_path, CAST(CASE n % 3 WHEN 0 THEN 6 ELSE 4 END AS INTEGER) AS line,
 UNION ALL SELECT file_path, 4, 'unused_property', 'lost', 'medium' FROM f WHERE n % 3 = 0""")
 def unused_private_members(spark: SparkSession, d: str) -> DataFrame:
     body = "<?php\nclass P@ {\n  private $used = 1;\n  private $lost = 2;\n  private function keep() { return $this->used; }\n  private function gone() { return 1; }\n  public function run() { return $this->keep()%; }\n}"
-    content = pick(KEY, body.replace("%", ""), body.replace("%", " + $this->gone()"), body.replace("%", " + call_user_func([$this, 'gone']) + $this->lost"))
+    content = pick(key(), body.replace("%", ""), body.replace("%", " + $this->gone()"), body.replace("%", " + call_user_func([$this, 'gone']) + $this->lost"))
     return _dead(spark, d, text("src/P@.php"), "php", content)
 
 
@@ -257,8 +261,8 @@ def abandoned_classes(spark: SparkSession, d: str) -> DataFrame:
     own = "<?php\nnamespace App;\nclass K@ {\n}\n"
     before = lambda t: text(t)
     content = F.concat(text(own))
-    classes = part_code(spark, d, F.concat(F.when(KEY % 8 == 7, text("src/K@.php")).otherwise(text("src/K@.php"))), "php", content)
-    users = part_code(spark, d, text("use/U@.php"), "php", pick(KEY, before("<?php\n$x = new \\App\\K@();"), before("<?php\nnamespace App;\nfinal class U@ extends K@ {}"), before("<?php\n$list = ['App\\K@'];"), before("<?php\n// nothing")))
+    classes = part_code(spark, d, F.concat(F.when(key() % 8 == 7, text("src/K@.php")).otherwise(text("src/K@.php"))), "php", content)
+    users = part_code(spark, d, text("use/U@.php"), "php", pick(key(), before("<?php\n$x = new \\App\\K@();"), before("<?php\nnamespace App;\nfinal class U@ extends K@ {}"), before("<?php\n$list = ['App\\K@'];"), before("<?php\n// nothing")))
     files = classes.unionByName(users)
     rows = X.extract(files)
     found = D.abandoned_classes(files, X.symbols_of(rows), X.dependencies_of(rows))
@@ -268,7 +272,7 @@ def abandoned_classes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'src/L' || p_partkey || '.php' AS path, CAST(2 + p_partkey % 3 AS INTEGER) AS line, CASE WHEN p_size % 2 = 0 THEN 'gone' END AS name FROM part WHERE p_size % 2 = 0 AND p_partkey % 3 = 1")
 def stale_row_guard(spark: SparkSession, d: str) -> DataFrame:
     """Index rows that don't stand on their line any more give no finding: the method is on line 3, rows say 2, 3 or 4."""
-    files = part_code(spark, d, text("src/L@.php"), "php", pick(SIZE, "<?php\nclass L@ {\n  private function gone() { return 1; }\n}", "<?php\nclass L@ {\n  private function gone() { return 1; }\n  public function run() { return $this->gone(); }\n}"))
-    rows = _t(spark, d, "part").select(text("src/L@.php").alias("path"), F.lit("private").alias("visibility"), F.lit("method").alias("type"), F.lit("gone").alias("name"), (KEY % 3 + 2).cast("int").alias("line_start")).withColumn("file_id", X.file_id())
+    files = part_code(spark, d, text("src/L@.php"), "php", pick(size(), "<?php\nclass L@ {\n  private function gone() { return 1; }\n}", "<?php\nclass L@ {\n  private function gone() { return 1; }\n  public function run() { return $this->gone(); }\n}"))
+    rows = _t(spark, d, "part").select(text("src/L@.php").alias("path"), F.lit("private").alias("visibility"), F.lit("method").alias("type"), F.lit("gone").alias("name"), (key() % 3 + 2).cast("int").alias("line_start")).withColumn("file_id", X.file_id())
     none = X.dependencies_of(X.extract(files)).limit(0)
     return D.in_file(files, rows, none).select(F.col("file_path").alias("path"), "line", "name")

@@ -13,7 +13,7 @@ from codequarry.functions import text as T
 from codequarry.operators import findings as N
 from codequarry.operators import resolve as R
 from codequarry.plans.catalog import Query, _t
-from codequarry.plans.code_catalog import KEY, SIZE, part_code, pick, text
+from codequarry.plans.code_catalog import key, part_code, pick, size, text
 from codequarry.session import map_rows, scratch
 from codequarry.sources import extract as X
 from codequarry.sources import scanners as E
@@ -66,7 +66,7 @@ def extract_python(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CASE p_size % 3 WHEN 2 THEN '' ELSE 'x' || p_partkey || CASE p_size % 3 WHEN 0 THEN '.m' ELSE '' END END AS module, p_partkey AS n FROM part WHERE p_size % 3 < 2 UNION ALL SELECT 'p' || p_partkey, p_partkey FROM part WHERE p_size % 3 = 2")
 def python_modules(spark: SparkSession, d: str) -> DataFrame:
     """Module names of paths; a package is its folder."""
-    path = pick(SIZE, "x@/m.py", "./x@.py", "p@/__init__.py")
+    path = pick(size(), "x@/m.py", "./x@.py", "p@/__init__.py")
     return _t(spark, d, "part").select(R.module_name(path).alias("module"), F.col("p_partkey").alias("n"))
 
 
@@ -117,8 +117,8 @@ _LANG = ["python", "php", "ruby", "rust", "typescript", "typescript", "javascrip
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     """Parts as a tree of files in thirteen languages."""
-    ext = F.array(*(F.lit(x) for x in _EXT))[(KEY % 13).cast("int")]
-    return _t(spark, d, "part").select(F.concat(text("dir_@/f."), F.when(SIZE % 2 == 0, F.upper(ext)).otherwise(ext)).alias("path"), SIZE.cast("long").alias("size"), F.timestamp_seconds(KEY).alias("last_modified"), text("x @").alias("content"))
+    ext = F.array(*(F.lit(x) for x in _EXT))[(key() % 13).cast("int")]
+    return _t(spark, d, "part").select(F.concat(text("dir_@/f."), F.when(size() % 2 == 0, F.upper(ext)).otherwise(ext)).alias("path"), size().cast("long").alias("size"), F.timestamp_seconds(key()).alias("last_modified"), text("x @").alias("content"))
 
 
 @query(f"SELECT {str(_LANG)}[p_partkey % 13 + 1] AS language, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_partkey % 13 < 8 GROUP BY 1")
@@ -137,7 +137,7 @@ def _index(spark: SparkSession, d: str) -> S.Index:
     index = S.Index(spark, scratch(spark, "index"))
     files = S.files_of(_tree(spark, d))
     index.write("files", files)
-    homes = _t(spark, d, "part").select(KEY.alias("l_partkey"), F.concat(text("dir_@/f."), F.when(SIZE % 2 == 0, F.upper(F.array(*(F.lit(x) for x in _EXT))[(KEY % 13).cast("int")])).otherwise(F.array(*(F.lit(x) for x in _EXT))[(KEY % 13).cast("int")])).alias("path"))
+    homes = _t(spark, d, "part").select(key().alias("l_partkey"), F.concat(text("dir_@/f."), F.when(size() % 2 == 0, F.upper(F.array(*(F.lit(x) for x in _EXT))[(key() % 13).cast("int")])).otherwise(F.array(*(F.lit(x) for x in _EXT))[(key() % 13).cast("int")])).alias("path"))
     lines = _t(spark, d, "lineitem").join(homes, "l_partkey").withColumn("source_file_id", X.file_id())
     index.write("dependencies", lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("dep_id"), "source_file_id", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target_name"), F.lit("import").alias("type"), F.col("l_linenumber").cast("int").alias("line")))
     return index
@@ -154,7 +154,7 @@ def index_counts(spark: SparkSession, d: str) -> DataFrame:
 def index_point_lookup(spark: SparkSession, d: str) -> DataFrame:
     """A file by its path, and its dependencies."""
     index = _index(spark, d)
-    path = _t(spark, d, "part").filter("p_partkey = 2").select(F.when(SIZE % 2 == 0, "dir_2/f.RB").otherwise("dir_2/f.rb").alias("path")).first()["path"]
+    path = _t(spark, d, "part").filter("p_partkey = 2").select(F.when(size() % 2 == 0, "dir_2/f.RB").otherwise("dir_2/f.rb").alias("path")).first()["path"]
     return index.file(path).select("file_id", "path").join(index.dependencies_in(path).withColumnRenamed("source_file_id", "file_id"), "file_id").select("path", "target_name", "line")
 
 
@@ -172,8 +172,8 @@ def index_prune_cascade(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey AS file_id, CASE WHEN p_partkey % 3 = 0 THEN 'new ' ELSE 'old ' END || p_partkey AS summary FROM part UNION ALL SELECT p_partkey + 10000000, 'new ' || p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 0")
 def upsert_envelopes(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a key replace those there are, others are added."""
-    old = _t(spark, d, "part").select(KEY.alias("file_id"), text("old @").alias("summary"))
-    new = _t(spark, d, "part").filter("p_partkey % 3 = 0").select(F.explode(F.when(KEY % 2 == 0, F.array(KEY, KEY + 10000000)).otherwise(F.array(KEY))).alias("file_id"), text("new @").alias("summary"))
+    old = _t(spark, d, "part").select(key().alias("file_id"), text("old @").alias("summary"))
+    new = _t(spark, d, "part").filter("p_partkey % 3 = 0").select(F.explode(F.when(key() % 2 == 0, F.array(key(), key() + 10000000)).otherwise(F.array(key()))).alias("file_id"), text("new @").alias("summary"))
     return S.upsert(old, new, "file_id")
 
 
@@ -195,20 +195,20 @@ _PATHS = "CASE p_partkey % 10 WHEN 0 THEN 'tests/a.py' WHEN 1 THEN 'src/latest.p
 SELECT n, path, n % 10 IN (0, 1, 2, 3, 4, 7, 8) AS contracts, n % 10 IN (0, 1, 4, 7, 8) AS dead_code, n % 10 IN (0, 1, 2, 3, 4, 7, 8) AS hardwiring, n % 10 IN (6, 9) AS excluded FROM p""")
 def path_filters(spark: SparkSession, d: str) -> DataFrame:
     """Test-like paths, which detectors see differently, and globs, whose star crosses slashes."""
-    path = pick(KEY, "tests/a.py", "src/latest.py", "src/a_spec.rb", "spec/a.rb", "src/a_test.rs", "src/plain.rs", "vendor/x/y.php", "app/HTTP/Fixtures/z.php", "src/Contest.php", "build/out.js")
+    path = pick(key(), "tests/a.py", "src/latest.py", "src/a_spec.rb", "spec/a.rb", "src/a_test.rs", "src/plain.rs", "vendor/x/y.php", "app/HTTP/Fixtures/z.php", "src/Contest.php", "build/out.js")
     p = F.col("path")
-    return _t(spark, d, "part").select(KEY.alias("n"), path.alias("path")).select("n", "path", *(T.test_like(p, k).alias(k) for k in ("contracts", "dead_code", "hardwiring")), T.matches_glob(p, ["vendor/*.php", "buil[a-d]/?ut.js", "nothing"]).alias("excluded"))
+    return _t(spark, d, "part").select(key().alias("n"), path.alias("path")).select("n", "path", *(T.test_like(p, k).alias(k) for k in ("contracts", "dead_code", "hardwiring")), T.matches_glob(p, ["vendor/*.php", "buil[a-d]/?ut.js", "nothing"]).alias("excluded"))
 
 
 @query("""SELECT p_partkey AS n, p_partkey % 6 = 0 AS command, p_partkey % 6 IN (1, 2) AS config, p_partkey % 6 = 3 AS bootstrap, p_partkey % 6 = 4 AS noise, p_partkey % 6 IN (0, 5) AS interactive FROM part""")
 def path_classes(spark: SparkSession, d: str) -> DataFrame:
     """What the detectors take a path for, by the predicates they use."""
-    path = pick(KEY, "app/Console/c@.php", "config/c@.php", "tools/c@.js", "x@/settings/base.py", "db@/database/seeders/a.php", "web@/assets/a.js")
+    path = pick(key(), "app/Console/c@.php", "config/c@.php", "tools/c@.js", "x@/settings/base.py", "db@/database/seeders/a.php", "web@/assets/a.js")
 
     def run(rows):
         return [(n, L.is_command(p), L.is_config(p), L.is_bootstrap(p), L.is_entity_noise(p), L.is_interactive(p)) for n, p in rows]
 
-    return map_rows(_t(spark, d, "part").select(KEY.cast("long").alias("n"), path.alias("path")), run, "n long, command boolean, config boolean, bootstrap boolean, noise boolean, interactive boolean")
+    return map_rows(_t(spark, d, "part").select(key().cast("long").alias("n"), path.alias("path")), run, "n long, command boolean, config boolean, bootstrap boolean, noise boolean, interactive boolean")
 
 
 # resolving
@@ -222,7 +222,7 @@ CAST(CASE kind WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 7 WHEN 3 THEN 8 WHEN 4 TH
 def resolver_stages(spark: SparkSession, d: str) -> DataFrame:
     """Last segment after ::, Ruby's relative and suffix require, PHP's exact, well-known and file-name includes, JavaScript's relative import with an ending, Ruby's scope."""
     part = _t(spark, d, "part")
-    n = KEY
+    n = key()
     home = pick(n, "sym/n@.rb", "src/lib/req@.rb", "deep/lib7/suf@.rb", "inc/p@.php", "site/wp-admin/q@.php", "far/away/uniq@.php", "src/app/js@.tsx", "scope/s@.rb")
     files = part.select((n * 2).alias("file_id"), home.alias("path"), F.when(n % 8 == 6, "typescript").when((n % 8).isin(3, 4, 5), "php").otherwise("ruby").alias("language"), n.alias("n"))
     users = part.select((n * 2 + 1).alias("file_id"), F.concat(pick(n, "u/a@", "src/app/a@", "u/a@", "u/a@", "u/a@", "u/a@", "src/app/a@", "u/a@"), F.when(n % 8 == 6, ".ts").when((n % 8).isin(3, 4, 5), ".php").otherwise(".rb")).alias("path"), F.when(n % 8 == 6, "typescript").when((n % 8).isin(3, 4, 5), "php").otherwise("ruby").alias("language"), n.alias("n"))
@@ -339,15 +339,15 @@ SELECT n, CASE WHEN base < 2 THEN 'by-base' WHEN face = 1 THEN 'by-face' WHEN la
 def structural_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules that look at ancestors, interfaces, layers and type hints elsewhere; the first that holds counts."""
     part = _t(spark, d, "part")
-    path = F.when(SIZE % 5 == 3, text("src/Domain/C@.php")).otherwise(text("src/C@.php"))
-    files = part.select(KEY.alias("file_id"), path.alias("path"), F.lit("php").alias("language"), F.lit("").alias("content"))
-    base = pick(KEY, F.lit("ServiceProvider"), F.lit("Vendor\\ServiceProvider"), F.lit("Base"), F.lit("ServiceProviderX"))
-    face = pick(SIZE, F.lit("Other"), F.lit("Lib\\Contract"), F.lit("Contractual"))
-    dep = lambda kind, target, source=KEY: part.select(source.alias("source_file_id"), target.alias("target_name"), F.lit(kind).alias("type"))
-    hints = dep("import", text("App\\C@Class"), KEY + 1).filter((F.col("source_file_id") - 1) % 7 == 1)
+    path = F.when(size() % 5 == 3, text("src/Domain/C@.php")).otherwise(text("src/C@.php"))
+    files = part.select(key().alias("file_id"), path.alias("path"), F.lit("php").alias("language"), F.lit("").alias("content"))
+    base = pick(key(), F.lit("ServiceProvider"), F.lit("Vendor\\ServiceProvider"), F.lit("Base"), F.lit("ServiceProviderX"))
+    face = pick(size(), F.lit("Other"), F.lit("Lib\\Contract"), F.lit("Contractual"))
+    dep = lambda kind, target, source=key(): part.select(source.alias("source_file_id"), target.alias("target_name"), F.lit(kind).alias("type"))
+    hints = dep("import", text("App\\C@Class"), key() + 1).filter((F.col("source_file_id") - 1) % 7 == 1)
     deps = dep("inherit", base).unionByName(dep("implement", face)).unionByName(hints)
-    found = part.select(path.alias("file_path"), F.lit(1).alias("line"), F.lit("abandoned_class").alias("category"), text("App\\C@Class").alias("name"), KEY.alias("n"))
-    layers = part.select(KEY.alias("file_id"), F.when(SIZE % 5 == 2, "DOMAIN").otherwise("other").alias("layer"))
+    found = part.select(path.alias("file_path"), F.lit(1).alias("line"), F.lit("abandoned_class").alias("category"), text("App\\C@Class").alias("name"), key().alias("n"))
+    layers = part.select(key().alias("file_id"), F.when(size() % 5 == 2, "DOMAIN").otherwise("other").alias("layer"))
     rules = [("by-base", "abandoned_class", [("inherits", {"ancestor": "ServiceProvider"})]), ("by-face", "abandoned_class", [("implements", {"interface": "Contract"})]), ("by-layer", "abandoned_class", [("file_in_layer", {"layer": "domain"})]), ("by-hint", "abandoned_class", [("referenced_as_type_hint", {})])]
     return N.attribute(N.prepare(found, files, deps, layers), rules).select("n", "rule_id")
 
@@ -355,17 +355,17 @@ def structural_rules(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'rule-' || left(md5('magic_string:src/f' || p_partkey || '.php:v' || p_partkey), 8) AS id, 'src/f' || p_partkey || '.php' AS pattern, 'v' || p_partkey AS substring, 'probationary' AS status FROM part WHERE p_size % 3 = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY p_partkey) = 1""")
 def rules_from_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Each false positive becomes a rule on probation for its file and name."""
-    verdicts = _t(spark, d, "part").select(text("src/f@.php").alias("file_path"), F.lit(1).alias("line"), F.lit("magic_string").alias("category"), F.lit("").alias("name"), text("v@").alias("value"), pick(SIZE, F.lit("true_positive"), F.lit("false_positive"), F.lit("needs_context")).alias("verdict"), F.lit("r").alias("reason"))
+    verdicts = _t(spark, d, "part").select(text("src/f@.php").alias("file_path"), F.lit(1).alias("line"), F.lit("magic_string").alias("category"), F.lit("").alias("name"), text("v@").alias("value"), pick(size(), F.lit("true_positive"), F.lit("false_positive"), F.lit("needs_context")).alias("verdict"), F.lit("r").alias("reason"))
     r = N.rules_from_verdicts(verdicts)
     return r.select("id", F.col("checks")[0]["params"]["pattern"].alias("pattern"), F.col("checks")[1]["params"]["substring"].alias("substring"), "status")
 
 
 @query("SELECT DISTINCT domain, n FROM (SELECT CASE p_size % 2 WHEN 0 THEN 'security' ELSE 'quality' END AS domain, p_partkey AS n FROM part) WHERE domain = 'security'")
 def domain_filter(spark: SparkSession, d: str) -> DataFrame:
-    return N.of_domain(_t(spark, d, "part").select(pick(SIZE, F.lit("security"), F.lit("quality")).alias("domain"), KEY.alias("n")))
+    return N.of_domain(_t(spark, d, "part").select(pick(size(), F.lit("security"), F.lit("quality")).alias("domain"), key().alias("n")))
 
 
 @query("SELECT p_partkey AS n, (p_size % 4 = 0 OR p_partkey % 3 = 0) AS informational FROM part")
 def informational_findings(spark: SparkSession, d: str) -> DataFrame:
-    f = _t(spark, d, "part").select(pick(SIZE, "docs/a@.md", "src/a@.php", "lib/a@.php", "app/a@.php").alias("file_path"), pick(KEY, F.lit("known"), F.lit("x"), F.lit("y")).alias("value"), KEY.alias("n"))
+    f = _t(spark, d, "part").select(pick(size(), "docs/a@.md", "src/a@.php", "lib/a@.php", "app/a@.php").alias("file_path"), pick(key(), F.lit("known"), F.lit("x"), F.lit("y")).alias("value"), key().alias("n"))
     return N.mark_informational(f, ["docs/*"], ["known"]).select("n", "informational")
