@@ -3,12 +3,12 @@
 A document is the multiset of its word bigrams (lower case, punctuation ignored). Every unit of weight of a
 bigram owns a Poisson process of points in time, and each point falls on one of the signature's components; a
 component's value is its earliest point. The weights 0, 1, 2, ... are discretised in dyadic intervals [0,1), [1,2),
-[2,4), [4,8), ..., each with one process, whose points successive halvings send to a single level; a document
+[2,4), [4,8), ..., each with one process, whose points fall on one of its levels each by a hash; a document
 takes the points below its weight. Two documents share a component's point with the probability of their weighted
 Jaccard similarity, sum(min)/sum(max). Only points before a horizon that fills the signature are ever made, so the
 work for a text is one hash a distinct bigram and some thousand points.
 
-Signatures are cut in bands. In each bucket every document is linked to the least doc_id and to its predecessor.
+Signatures are cut in bands. In each bucket every document is linked to the least doc_id and to a predecessor.
 Links whose ends aren't joined yet are verified by exact weighted Jaccard similarity on the texts; verified links
 make groups (connected components). Where a bucket's members aren't in one group then, ever more of them, in an
 order by hash that is another one in each band, are linked to all members of other groups, until no pair of a bucket
@@ -16,7 +16,7 @@ is left that is neither joined nor verified. So a bucket costs what it has membe
 its pairs if they aren't.
 
 Defined results: null, empty and wordless texts, and rows without doc_id, belong to no group. Rows that share
-a doc_id are one document. Exact copies (same words in the same order) are grouped without banding.
+a doc_id are one document; of a group of equals the least doc_id is kept. Texts of any length are compared whole. Exact copies (same words in the same order) are grouped without banding.
 Other columns of the input are ignored, whatever their names.
 """
 
@@ -129,14 +129,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): for every node of edges (a, b), the least node it is connected with. Alternating stars."""
+    """(node, label): for every node of edges (a, b), the least node it is connected with. Alternating stars.
+
+    A star's least node comes by an aggregation and a join back, which large stars don't put on one task.
+    """
     edges = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least(F.min("b").over(Window.partitionBy("a")), "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", least).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        large = both.join(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = pairs.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = checkpoint(small)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
@@ -149,8 +152,8 @@ def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
 
     Merge joins whatever the size: the work is in proportion to the texts of linked documents.
     """
-    size = F.count("*").over(Window.partitionBy("b"))
-    salted = links.select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), F.pmod(F.xxhash64("a"), F.ceil(size / 500)).alias("salt"))
+    links = links.join(links.groupBy("b").agg(F.ceil(F.count("*") / 500).alias("salts")), "b")
+    salted = links.select(F.col("a").alias("doc_id"), F.col("b").alias("leader"), F.pmod(F.xxhash64("a"), "salts").alias("salt"))
     rows = write_shared(salted.union(salted.select(F.col("leader"), F.col("leader"), F.col("salt")).distinct()), "pairs")
     texts = docs.join(rows.hint("merge"), "doc_id").select("leader", "salt", "doc_id", "text")
     texts = texts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("doc_id") != F.col("leader"), "doc_id")
@@ -165,11 +168,11 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     signed = write_shared(docs.mapInArrow(_sign, "doc_id long, words_hash long, n_words long, bands array<long>"), "signatures")
     exact = write_shared(signed.groupBy("words_hash", "n_words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     firsts = signed.join(exact.select(F.col("rep").alias("doc_id"), "words_hash", "n_words"), ["doc_id", "words_hash", "n_words"], "left_semi")
-    bucket = Window.partitionBy("band", "value")
-    inside = firsts.select("doc_id", F.posexplode("bands").alias("band", "value")).select(
-        "doc_id", "band", "value", F.count("*").over(bucket).alias("size"), F.min("doc_id").over(bucket).alias("leader"), F.lag("doc_id").over(bucket.orderBy("doc_id")).alias("previous")
-    )
-    inside = write_shared(inside.filter("size > 1"), "buckets")
+    own = firsts.select("doc_id", F.posexplode("bands").alias("band", "value"))
+    sizes = own.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader")).filter("size > 1")
+    inside = own.join(sizes, ["band", "value"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / 1000)))
+    near = Window.partitionBy("band", "value", "salt").orderBy("doc_id")  # about a thousand rows of a bucket, however many it has
+    inside = write_shared(inside.select("doc_id", "band", "value", "size", "leader", F.lag("doc_id").over(near).alias("previous")), "buckets")
     links = inside.filter("doc_id > leader").select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("leader", F.coalesce("previous", "leader")))).alias("b")).filter("a <> b")
     links = write_shared(links.groupBy("a", "b").agg(F.count("*").alias("votes")), "links")
     linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -187,24 +190,26 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
         found = write_shared(verified(open_.select("a", "b"), docs), "verified")
         done = found if done is None else done.union(found)
         labels = components(done.filter(F.col("similarity") >= threshold).select("a", "b"))
-    place = F.row_number().over(bucket.orderBy(F.xxhash64("band", "doc_id"), "doc_id"))
-    crowds = inside.filter("size > 3").select("doc_id", "band", "value", place.alias("place"))  # links are all pairs of up to three
-    leaders = 1
+    # links are all pairs of buckets of up to three
+    crowds = inside.filter("size > 3").select("doc_id", "band", "value", F.xxhash64("band", "doc_id").alias("place"))
+    bucket, leaders = ["band", "value"], 1
     while True:
         # those who led are through: every later member of their buckets is joined with them or verified against them
         crowds = crowds.select("doc_id", "band", "value", "place").join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        crowds = crowds.withColumns({"first": F.min("place").over(bucket), "low": F.min("label").over(bucket), "high": F.max("label").over(bucket)})
-        crowds = write_shared(crowds.filter("low < high").drop("low", "high"), "crowds")
+        open_ = crowds.groupBy(bucket).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select(bucket)
+        crowds = write_shared(crowds.join(open_, bucket, "left_semi"), "crowds")
         if not crowds.limit(1).count():
             break
-        leading = crowds.filter(F.col("place") < F.col("first") + leaders).select("band", "value", F.col("doc_id").alias("other"), F.col("place").alias("at"), F.col("label").alias("group"))
-        pairs = crowds.join(leading, ["band", "value"]).filter("place > at and label <> group").select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
+        # each task keeps the first few of a bucket before they meet
+        first = F.row_number().over(Window.partitionBy(*bucket).orderBy("place", "doc_id"))
+        leading = write_shared(crowds.withColumn("n", first).filter(F.col("n") <= leaders).select(*bucket, F.col("doc_id").alias("other"), F.col("place").alias("at"), F.col("label").alias("group")), "leading")
+        pairs = crowds.join(leading, bucket).filter("(place > at or place = at and doc_id > other) and label <> group").select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
         found = write_shared(verified(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), docs), "verified")
         done = done.union(found)
         joined = found.filter(F.col("similarity") >= threshold).select("a", "b")
         if joined.limit(1).count():
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(joined))
-        crowds = crowds.filter(F.col("place") >= F.col("first") + leaders)
+        crowds = crowds.join(leading.select(*bucket, F.col("other").alias("doc_id")), [*bucket, "doc_id"], "left_anti")
         leaders *= 4
     groups = exact.join(labels, exact["rep"] == labels["node"], "left").select("words_hash", "n_words", "copies", F.col("label"), F.coalesce("label", "rep").alias("group_id"))
     groups = groups.filter("copies > 1 or label is not null").select("words_hash", "n_words", "group_id")

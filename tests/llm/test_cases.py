@@ -114,6 +114,35 @@ def test_more_rows_than_a_key_holds():
     assert all(len(np.unique(bagminhash.multisets(Words(p.column(0)))[1])) == 2 for p in parts)
 
 
+# 8
+
+
+def test_template_families_find_their_twins(spark):
+    """Documents of one template, alike below the threshold, with planted pairs above it: no pair of a bucket is passed over."""
+    rng = random.Random(88)
+    frame = sentence(rng, 160).split()
+    texts, twins = {}, set()
+    for i in range(300):
+        own = list(frame)
+        for at in rng.sample(range(160), 24):
+            own[at] = f"v{rng.randrange(10**6)}"
+        texts[2 * i] = " ".join(own)
+        if i % 2:
+            for at in rng.sample(range(160), 8):
+                own[at] = f"w{rng.randrange(10**6)}"
+            texts[2 * i + 1] = " ".join(own)
+            twins.add((2 * i, 2 * i + 1))
+    df = docs(spark, texts)
+    null = df.limit(3).selectExpr("cast(null as long)", *df.columns[1:])
+    group = {r.doc_id: r.group_id for r in bagminhash.near_duplicates(df.union(null)).collect()}
+    multi = {}
+    for i, t in texts.items():
+        multi[i] = bagminhash.multisets(Words(pa.array([t])))[1:]
+    above = {(a, b) for a, b in twins if bagminhash.overlap(multi[a], multi[b]) >= bagminhash.THRESHOLD}
+    assert len(above) > 100 and None not in group
+    assert np.mean([a in group and group[a] == group.get(b) for a, b in above]) >= 0.97
+
+
 # 6
 
 BY_HAND = [
