@@ -8,7 +8,8 @@ ranges of ranks from the counts of each range (two numbers a range), and a join
 only, so the result doesn't depend on how many ranges there are. Then the gaps shrink, and the round is repeated; where
 nothing fits any more, new sequences are opened for what is left. Once all that waits fits one task (`task_rows`), that task does the remaining rounds.
 
-The rounds move numbers alone, (size, document, piece) or (gap, sequence); texts are written once in pieces, and moved once to their sequences.
+The rounds move numbers alone, (size, document, piece) or (gap, sequence); texts are written in pieces, moved to their places and then to their
+sequences, and are compressed on the way, each piece by itself.
 
 Defined results: null, empty and blank texts have no words and take no room, they don't appear; a null doc_id is kept;
 repeated rows are packed as often as they come; equal sizes go by doc_id and piece; texts of any length are cut, none is dropped; other columns are ignored.
@@ -33,6 +34,7 @@ CAPACITY, TASK_ROWS, RANGE_ROWS = 2048, 65_536, 1_000_000
 _STATE = "kind int, value int, a long, b int, number long, sequence long, offset int"
 _SWEPT = "part int, state int, rank long, " + _STATE
 PIECE, GAP, PLACED = 0, 1, 2
+_CODEC = pa.Codec("zstd")
 
 
 def word_bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,6 +50,15 @@ def word_bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return data, start, end, np.searchsorted(start, offsets)
 
 
+def packed(text: bytes) -> bytes:
+    """The text compressed, after its length."""
+    return len(text).to_bytes(8, "little") + _CODEC.compress(text, asbytes=True)
+
+
+def unpacked(value: bytes) -> bytes:
+    return _CODEC.decompress(value[8:], int.from_bytes(value[:8], "little"), asbytes=True)
+
+
 def _cut(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,8 +71,8 @@ def _cut(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 first = bounds[row] + piece * capacity
                 size = np.minimum(bounds[row + 1] - first, capacity)
                 view = memoryview(data)
-                texts = [bytes(view[a:b]) for a, b in zip(start[first].tolist(), end[first + size - 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "piece", "size", "text"])
+                texts = [packed(bytes(view[a:b])) for a, b in zip(start[first].tolist(), end[first + size - 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(texts, pa.binary())], ["doc_id", "piece", "size", "packed"])
 
     return cut
 
@@ -229,7 +240,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, task_rows: int = TASK_ROW
 
 
 def _pieces(documents: DataFrame, capacity: int) -> DataFrame:
-    cut = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(capacity), "doc_id long, piece int, size int, text string")
+    cut = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(capacity), "doc_id long, piece int, size int, packed binary")
     return write_shared(cut.withColumn("number", F.monotonically_increasing_id()), "pieces")
 
 
@@ -253,11 +264,20 @@ def sequences(documents: DataFrame, capacity: int = CAPACITY, task_rows: int = T
     ship(documents.sparkSession)
     pieces = _pieces(documents, capacity)
     found = pieces.join(_placed(pieces, capacity, task_rows, range_rows), "number")
-    one = F.struct("offset", "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start_word"), F.col("size").alias("n_words"), "text")
+    one = F.struct("offset", "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start_word"), F.col("size").alias("n_words"), "packed")
     rows = found.groupBy("sequence").agg(F.sort_array(F.collect_list(one)).alias("p"))
     fields = lambda x: F.struct(*(x[c].alias(c) for c in ("offset", "doc_id", "piece", "start_word", "n_words")))
     n = F.aggregate("p", F.lit(0), lambda s, x: s + x["n_words"])
-    return rows.select("sequence", n.alias("n_words"), F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.transform("p", fields).alias("pieces"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+    rows = rows.select("sequence", n.alias("n_words"), F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"), F.transform("p", fields).alias("pieces"), F.transform("p", lambda x: x["packed"]).alias("text"))
+    return rows.mapInArrow(_texts, "sequence long, n_words int, doc_ids array<long>, pieces array<struct<offset: int, doc_id: long, piece: int, start_word: long, n_words: int>>, text string")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            texts = [b"\n\n".join(map(unpacked, x)).decode() for x in part.column("text").to_pylist()]
+            yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> int:
