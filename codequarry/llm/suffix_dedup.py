@@ -15,7 +15,7 @@ another document.
    the passage repeats. A bucket has a bounded number of words, so its columns are rewritten in the worker's memory; with `external`
    they go through sequential files in the shared folder after each round (the README has what that costs).
 4. Hot anchors, with more than `HOT` unlike contexts: a passage takes more words at the anchor's left or right, so such contexts meet where they share
-   the anchor and some of these, in a few windows a context; windows still hot are widened again. Windows of `length` words are passages.
+   the anchor and half of these, in two windows a context. Windows still hot are widened to `length` words, which are passages as they are.
    So a bucket has at most HOT contexts beyond BUCKET_SYMBOLS, however many documents share an anchor.
 5. Ranges of words are put back on the documents and merged.
 
@@ -237,12 +237,8 @@ def _bucket(length: int, folder: str | None):
 
 
 def extras(span: int) -> list[int]:
-    """By how many words windows are wider than the anchor, level by level: half of what a passage has besides it, three quarters, ..., all."""
-    out, rest = [], span
-    while rest:
-        rest //= 2
-        out.append(span - rest)
-    return out
+    """By how many words windows are wider than the anchor: half of what a passage has besides it, then all, where a window is a passage."""
+    return sorted({(span + 1) // 2, span})
 
 
 def offsets(span: int, extra: int) -> list[int]:
@@ -269,33 +265,35 @@ def _windows(length: int, extra: int):
                 key = mix(anchor[use].view(U64) + U64(b))
                 for k in range(wide):
                     key = key * U64(0x9E3779B97F4A7C15) + symbols[start + k].astype(U64)
-                part = batch.take(pa.array(use))
-                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), *part.columns, pa.array((at[use] - b).astype(np.int32))], ["bucket", *part.schema.names, "from_word"])
+                names = ["anchor", "context_hash", "low", "high"]
+                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64)), *(batch.column(c).take(pa.array(use)) for c in names), pa.array((at[use] - b).astype(np.int32))], ["bucket", *names, "from_word"])
 
     return cut
 
 
-_CONTEXT = "anchor long, at int, context_hash long, context binary, low long, high long"
+_WINDOW = "bucket long, anchor long, context_hash long, low long, high long, from_word int"
 
 
 def split(rows: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Contexts of hot anchors: (bucket, anchor, context_hash, context, low, high) of buckets of at most `hot` contexts, and ranges that need none."""
-    columns = ["bucket", "anchor", "context_hash", "context", "low", "high"]
-    out, span = None, length - anchor_words(length)
-    for extra in extras(span):
-        wide = write_shared(rows.mapInArrow(_windows(length, extra), f"bucket long, {_CONTEXT}, from_word int"), "windows")
-        size = wide.groupBy("bucket").agg(F.count_distinct("anchor", "context_hash").alias("n"), F.min("low").alias("least"), F.max("high").alias("most")).filter("least <> most")
-        if extra == span:
-            ranges = wide.join(size.select("bucket"), "bucket").select("anchor", "context_hash", "from_word", (F.col("from_word") + length).alias("to_word"))
-            return (wide.select(columns).limit(0) if out is None else out), ranges
-        size = write_shared(size.select("bucket", "n"), "window_sizes")
-        some = wide.join(size.filter(F.col("n") <= hot).select("bucket"), "bucket").select(columns)
-        out = some if out is None else out.unionByName(some)
-        large = size.filter(F.col("n") > hot).select("bucket")
-        rows = wide.join(large, "bucket", "left_semi").select([c.split()[0] for c in _CONTEXT.split(", ")]).distinct()
-        if not large.limit(1).count():
-            break
-    return out, rows.select("anchor", "context_hash", F.lit(0).alias("from_word"), F.lit(0).alias("to_word")).limit(0)
+    """Contexts of hot anchors: (bucket, anchor, context_hash, context, low, high) of buckets of at most `hot` contexts, and ranges that need none.
+
+    Windows go without their contexts, a few numbers each; a context is in a bucket once, as a window's place in it is part of the bucket.
+    """
+    half, span = extras(length - anchor_words(length))[0], length - anchor_words(length)
+    wide = write_shared(rows.mapInArrow(_windows(length, half), _WINDOW), "windows")
+    size = wide.groupBy("bucket").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("high").alias("most")).filter("least <> most")
+    size = write_shared(size.select("bucket", "n"), "window_sizes")
+    wanted = wide.join(size.filter(F.col("n") <= hot).select("bucket"), "bucket").select("bucket", "anchor", "context_hash")
+    some = wanted.join(rows.select("anchor", "context_hash", "context", "low", "high"), ["anchor", "context_hash"]).select("bucket", "anchor", "context_hash", "context", "low", "high")
+    large = wide.join(size.filter(F.col("n") > hot).select("bucket"), "bucket", "left_semi").select("anchor", "context_hash").distinct()
+    whole = write_shared(rows.join(large, ["anchor", "context_hash"], "left_semi").mapInArrow(_windows(length, span), _WINDOW), "windows")
+    shared = whole.groupBy("bucket").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least <> most").select("bucket")
+    places = whole.join(shared, "bucket", "left_semi").select("anchor", "context_hash", "from_word").distinct()
+    # windows of a context that overlap or touch are one range
+    near = Window.partitionBy("anchor", "context_hash").orderBy("from_word")
+    new = F.when(F.col("from_word") > F.lag("from_word").over(near) + length, 1).otherwise(0)
+    ranges = places.withColumn("new", new).withColumn("range", F.sum("new").over(near)).groupBy("anchor", "context_hash", "range").agg(F.min("from_word").alias("from_word"), (F.max("from_word") + length).alias("to_word"))
+    return some, ranges.select("anchor", "context_hash", "from_word", "to_word")
 
 
 def repeated_passages(documents: DataFrame, length: int = LENGTH, hot: int = HOT, external: bool = False) -> DataFrame:
