@@ -134,3 +134,91 @@ def test_resolve_fuzzy(spark):
     tree = {"a/main.js": "import x from '@lib/odd/gadget'\n", "z/gadget.js": "1\n"}
     assert edge_set(spark, tree) == set()
     assert edge_set(spark, tree, fuzzy=True) == {("a/main.js", "z/gadget.js")}
+
+
+def test_betweenness_takes_every_source(spark):
+    """A ring of many files: the score of each is known, and any sample of sources gives other ones."""
+    n = 5400
+    ring = spark.range(n).select(F.format_string("f%04d", "id").alias("src"), F.format_string("f%04d", (F.col("id") + 1) % 60 + F.floor(F.col("id") / 60) * 60).alias("dst"))
+    e = ring.select("src", "dst", F.array(F.lit("import")).alias("types"), F.lit(1).cast("long").alias("weight")).filter("substring(src, 2) % 60 <> 59")
+    got = G.betweenness(ring.select(F.col("src").alias("path")), e, top=n).select("path", "score").collect()
+    # chains of 60: what is i-th lies between i before it and 59 - i behind
+    assert len(got) == n * 58 // 60
+    assert {tuple(r) for r in got} == {(f"f{i:04d}", round((i % 60) * (59 - i % 60) / ((n - 1) * (n - 2)), 4)) for i in range(n) if i % 60 not in (0, 59)}
+
+
+def weighted(seed, n, m):
+    rng = random.Random(seed)
+    return {(a, b): rng.randrange(1, 4) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b}
+
+
+def test_adjacency_by_hand():
+    """Against all shortest paths, enumerated."""
+    import numpy as np
+
+    for seed in range(8):
+        edges = weighted(seed, 9, 26)
+        graph = G.Adjacency(*(np.array(x, np.int32) for x in zip(*((a, b, w) for (a, b), w in edges.items()))))
+        for s in {a for e in edges for a in e}:
+            best: dict[int, list] = {}
+
+            def walk(path, length):
+                v = path[-1]
+                if len(path) > 1 and (v not in best or length <= best[v][0]):
+                    best[v] = [length, [*(best[v][1] if v in best and best[v][0] == length else []), path]]
+                for (a, b), w in edges.items():
+                    if a == v and b not in path:
+                        walk([*path, b], length + w)
+
+            walk([s], 0)
+            want = dict.fromkeys(best, 0.0)
+            for _, paths in best.values():
+                for p in paths:
+                    for v in p[1:-1]:
+                        want[v] += 1 / len(paths)
+            seen, got = graph.brandes(int(np.searchsorted(graph.known, s)))
+            got = {int(graph.known[v]): x for v, x in zip(seen, got)}
+            assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+
+
+def test_betweenness_by_groups_of_sources(spark):
+    from codequarry import session
+
+    e = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", w) for (a, b), w in weighted(11, 14, 60).items()], "src string, dst string, weight long")
+    files = spark.createDataFrame([(f"n{i:02d}",) for i in range(14)], "path string")
+    whole = rows(G.betweenness(files, e), "path", "score")
+    before = len(session._MADE)
+    assert rows(G.betweenness(files, e, adjacency_up_to=0, at_once=70), "path", "score") == whole
+    assert len(session._MADE) - before <= 4  # tables of the rounds are gone
+
+
+def test_strong_ids(spark):
+    """Over arrays, with components of many sizes and long chains between them; numbers, names and paths give the same."""
+    import numpy as np
+
+    rng = random.Random(7)
+    pairs = {(rng.randrange(300), rng.randrange(300)) for _ in range(380)} | {(300 + i, 300 + (i + 1) % 40) for i in range(40)} | {(400 + i, 401 + i) for i in range(30)}
+    pairs = sorted((a, b) for a, b in pairs if a != b)
+    want = {v: tuple(c) for c in G.tarjan(pairs) for v in c}
+    for few in (0, 100, 10**6):
+        found = G.strong_ids(440, [(np.array([a for a, _ in x]), np.array([b for _, b in x])) for x in (pairs[::2], pairs[1::2])], few)
+        groups: dict[int, list[int]] = {}
+        for v, c in enumerate(found.tolist()):
+            groups.setdefault(c if c >= 0 else -1 - v, []).append(v)
+        assert {v: tuple(g) for g in groups.values() if len(g) > 1 for v in g} == want
+    shift = 1 << 40
+    e = spark.createDataFrame([(a + shift, b + shift) for a, b in pairs], "src long, dst long")
+    names = spark.createDataFrame([(i + shift, f"n{i:03d}") for i in range(440)], "id long, path string")
+    by_path = edges(spark, [(f"n{a:03d}", f"n{b:03d}") for a, b in pairs])
+    one = rows(G.strong_components(by_path), "path", "component", "size")
+    assert rows(G.strong_components(e, names=names), "path", "component", "size") == one == rows(G.strong_components(by_path, tarjan_up_to=0), "path", "component", "size")
+    assert rows(G.cycles(e, most=10**6, components=G.strong_components(e, names=names), names=names), "cycle") == rows(G.cycles(by_path, most=10**6, components=G.strong_components(by_path)), "cycle")
+
+
+def test_components_of_numbers_move_no_paths(spark):
+    """Paths come to nodes when components are known; they aren't joined to edges."""
+    from codequarry.plans import catalog
+
+    edges_, names = catalog.part_numbers(spark, "/root/testdata/sf0.001")
+    assert dict(edges_.dtypes)["src"] == "bigint"
+    assert rows(G.strong_components(edges_, names=names), "path", "component", "size") == rows(G.strong_components(catalog.part_edges(spark, "/root/testdata/sf0.001"), one_task_up_to=0), "path", "component", "size")
