@@ -22,7 +22,7 @@ def unique_keys(keys: DataFrame) -> DataFrame:
 
 def symbol_keys(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(key, path): names and qualified names that tell one file."""
-    s = symbols.filter(F.col("type").isin(*NAMED)).join(files.select("file_id", "path", "language"), "file_id")
+    s = symbols.filter(F.col("type").isin(*NAMED)).join(files.select("file_id", "path", "language").hint("merge"), "file_id")
     joint = F.when(F.col("language") == "python", ".").when(F.col("language") == "ruby", "::").otherwise("\\")
     full = F.when(F.coalesce(F.col("namespace"), F.lit("")) != "", F.concat("namespace", joint, "name"))
     return unique_keys(s.select("path", F.explode(F.array_compact(F.array("name", full))).alias("key")))
@@ -109,23 +109,23 @@ def candidates(deps: DataFrame, aliases: dict[str, str] | None = None, endings:
 def resolve(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, aliases: dict[str, str] | None = None, fuzzy: bool = False) -> DataFrame:
     """(dep_id, src, dst, type, stage) of the dependencies (dep_id, source_file_id, target_name, type) that are told to be files.
 
-    Loops are dropped. A Python module means all its files.
+    Loops are dropped. A Python module means all its files. No join is left to be broadcast: sizes estimated from compressed files are far too small.
     """
     names = files.select("file_id", "path", "language")
-    spaces = symbols.filter(F.col("type").isin(*NAMED)).join(names.filter("language = 'ruby'"), "file_id")
+    spaces = symbols.filter(F.col("type").isin(*NAMED)).join(names.filter("language = 'ruby'").hint("merge"), "file_id")
     spaces = spaces.select("file_id", F.when(F.coalesce(F.col("namespace"), F.lit("")) != "", F.col("namespace")).when(F.col("type") == "module", F.col("name")).alias("ns")).groupBy("file_id").agg(F.collect_set("ns").alias("ns"))
     spaces = spaces.select("file_id", F.transform(F.array_sort(F.transform("ns", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("n")))), lambda x: x["n"]).alias("namespaces"))
-    deps = dependencies.select("dep_id", F.col("source_file_id").alias("file_id"), F.col("target_name").alias("target"), "type").join(names.select("file_id", F.col("path").alias("src")), "file_id").join(spaces, "file_id", "left")
+    deps = dependencies.select("dep_id", F.col("source_file_id").alias("file_id"), F.col("target_name").alias("target"), "type").join(names.select("file_id", F.col("path").alias("src")).hint("merge"), "file_id").join(spaces.hint("merge"), "file_id", "left")
     there = {r.e for r in names.select(F.regexp_extract("path", r"(\.(?:py|rb|php))$", 1).alias("e")).distinct().collect()}  # four rows at most
     wanted = candidates(deps, aliases, there)
     endings = wanted.filter("`table` = 'ending'").select("key").distinct()
     paths = names.select("path").withColumn("name", T.file_name(F.col("path")))
     # an ending need not begin at a slash. One with a slash ends in a whole file name, which is joined on; for the others, names are
     # compared by up to 8 of their last signs, and then in full
-    deep = endings.filter(F.contains("key", F.lit("/"))).withColumn("name", T.file_name(F.col("key"))).join(paths, "name").filter(F.col("path").endswith(F.col("key"))).select("key", "path")
+    deep = endings.filter(F.contains("key", F.lit("/"))).withColumn("name", T.file_name(F.col("key"))).join(paths.hint("merge"), "name").filter(F.col("path").endswith(F.col("key"))).select("key", "path")
     tails = paths.select("name").distinct().select("name", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("name"), F.lit(8))), lambda k: F.right(F.col("name"), k))).alias("tail"))
-    flat = endings.filter(~F.contains("key", F.lit("/"))).withColumn("tail", F.right(F.col("key"), F.lit(8))).join(tails, "tail").filter(F.col("name").endswith(F.col("key"))).select("key", "name")
-    ends = deep.union(flat.join(paths, "name").select("key", "path"))
+    flat = endings.filter(~F.contains("key", F.lit("/"))).withColumn("tail", F.right(F.col("key"), F.lit(8))).join(tails.hint("merge"), "tail").filter(F.col("name").endswith(F.col("key"))).select("key", "name")
+    ends = deep.union(flat.join(paths.hint("merge"), "name").select("key", "path"))
     php, rb = ".php" in there, ".rb" in there
     tables = {
         "symbol": symbol_keys(files, symbols),
@@ -142,7 +142,7 @@ def resolve(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, alias
             continue
         rows = rows.select(F.lit(table).alias("table"), "key", F.col("path").alias("dst"))
         known = rows if known is None else known.unionByName(rows)
-    hits = wanted.join(known, ["table", "key"]).withColumn("first", F.min(F.struct("stage", "at")).over(Window.partitionBy("dep_id")))
+    hits = wanted.join(known.hint("merge"), ["table", "key"]).withColumn("first", F.min(F.struct("stage", "at")).over(Window.partitionBy("dep_id")))
     hits = hits.filter(F.struct("stage", "at") == F.col("first")).select("dep_id", "src", "dst", "stage")
     if fuzzy:
         open_ = deps.join(hits.select("dep_id").distinct(), "dep_id", "left_anti").filter(F.contains("target", F.lit("/"))).withColumn("clean", F.regexp_replace("target", "^[@./]+", ""))
@@ -150,4 +150,4 @@ def resolve(files: DataFrame, symbols: DataFrame, dependencies: DataFrame, alias
         rest = open_.join(by_stem.select("dep_id").distinct(), "dep_id", "left_anti").filter(F.length("clean") > 3)
         inside = rest.join(paths, F.contains(F.col("path"), F.col("clean"))).withColumn("n", F.row_number().over(Window.partitionBy("dep_id").orderBy("path"))).filter("n <= 5").select("dep_id", "src", F.col("path").alias("dst"), F.lit(14).alias("stage"))
         hits = hits.unionByName(by_stem).unionByName(inside)
-    return hits.filter("src <> dst").join(dependencies.select("dep_id", "type"), "dep_id").select("dep_id", "src", "dst", "type", "stage").distinct()
+    return hits.filter("src <> dst").join(dependencies.select("dep_id", "type").hint("merge"), "dep_id").select("dep_id", "src", "dst", "type", "stage").distinct()
