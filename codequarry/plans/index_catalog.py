@@ -14,7 +14,7 @@ from codequarry.operators import findings as N
 from codequarry.operators import resolve as R
 from codequarry.plans.catalog import Query, _t
 from codequarry.plans.code_catalog import key, part_code, pick, size, text
-from codequarry.session import map_rows, scratch
+from codequarry.session import map_rows, scratch, write_shared
 from codequarry.sources import extract as X
 from codequarry.sources import scanners as E
 from codequarry.sources import store as S
@@ -104,9 +104,10 @@ def extract_vue(spark: SparkSession, d: str) -> DataFrame:
 def symbol_parents(spark: SparkSession, d: str) -> DataFrame:
     """Members are linked to their classes as the index stores them."""
     files = part_code(spark, d, text("src/K@.php"), "php", text("<?php\nclass K@ {\n  private $own = 1;\n  function run() {}\n}\nfunction free() {}"))
-    symbols = X.symbols_of(X.extract(files))
+    symbols = write_shared(X.symbols_of(X.extract(files)).select("symbol_id", "file_id", "name", "parent_symbol_id"), "symbols")
     parents = symbols.select(F.col("symbol_id").alias("parent_symbol_id"), F.col("name").alias("parent"))
-    return symbols.join(parents, "parent_symbol_id", "left").join(files.select("file_id", "path"), "file_id").select("path", "name", "parent")
+    # rows of a file's size: its statistics don't tell how many they are, so they aren't left to be broadcast
+    return symbols.join(parents.hint("merge"), "parent_symbol_id", "left").join(files.select("file_id", "path").hint("merge"), "file_id").select("path", "name", "parent")
 
 
 # scan and store
