@@ -5,9 +5,12 @@ import re
 import time
 
 import pytest
+from codequarry.functions import literals as L
 from codequarry.operators import deadcode as D
+from codequarry.operators import hardwiring as H
 from codequarry.plans import catalog
 from codequarry.plans import code_catalog as K
+from codequarry.policy import HardwiringPolicy
 from codequarry.session import ROWS_AT_A_TIME, map_rows
 from codequarry.sources import extract as X
 from helpers import code_base, rows
@@ -90,3 +93,23 @@ def test_members_know_their_class(spark):
     # of two classes of a name, members belong to the last
     assert got == {("K", None), ("own", ("K", 2)), ("run", ("K", 2)), ("free", None), ("x", ("K", 3)), ("f", ("K", 3))}
     assert "Join" not in plan(X.symbols_of(X.extract(spark.createDataFrame([("a.py", "python", "x = 1")], "path string, language string, content string"))))
+
+
+def test_detectors_share_the_lines(monkeypatch):
+    """A line is freed of its comment once, however many detectors read it."""
+    seen = []
+    strip = L.strip_comment
+    monkeypatch.setattr(L, "strip_comment", lambda line: seen.append(line) or strip(line))
+    text, policy = "<?php\n$a = 'one-two'; // x\n# y\nif ($kind == 'late-night-3') {", HardwiringPolicy()
+    assert len(list(H.magic_strings("a.php", text, policy))) == 1 and not list(H.entity_names("a.php", text, policy))
+    assert [v for v, _ in H.literals("a.php", text, policy)] == ["one-two", "late-night-3"]
+    assert len(seen) == 4
+
+
+@pytest.mark.parametrize("category", ["magic_string", "hardcoded_entity", "hardcoded_ip_url", "env_outside_config", "literal"])
+def test_one_category_as_of_all(spark, category):
+    """A query for one category gets the same rows from the detector alone."""
+    texts = {"src/a.php": "<?php\nif ($kind == 'late-night-3') {\n$x = env('A');\n$u = 'https://acme.io/x';\nif ($entityType === 'Order') {", "src/b.ts": "const a = process.env.B_1;\nif (kind === 'x-y-z') {\nconst ip = '10.1.2.3';"}
+    files, _, _ = code_base(spark, texts)
+    everything = sorted(r for r in H.scan(files).collect() if r.category == category)
+    assert everything and sorted(H.scan(files, only=category).collect()) == everything
