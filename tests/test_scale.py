@@ -1,5 +1,6 @@
 """What keeps queries in proportion to their tables: work on all cores, read once, no estimate that broadcasts."""
 
+import os
 import random
 import re
 import time
@@ -11,8 +12,9 @@ from codequarry.operators import hardwiring as H
 from codequarry.plans import catalog
 from codequarry.plans import code_catalog as K
 from codequarry.policy import HardwiringPolicy
-from codequarry.session import ROWS_AT_A_TIME, map_rows
+from codequarry.session import ROWS_AT_A_TIME, in_child, map_rows
 from codequarry.sources import extract as X
+from codequarry.sources import tokens as T
 from helpers import code_base, rows
 from pyspark.sql import functions as F
 
@@ -113,3 +115,65 @@ def test_one_category_as_of_all(spark, category):
     files, _, _ = code_base(spark, texts)
     everything = sorted(r for r in H.scan(files).collect() if r.category == category)
     assert everything and sorted(H.scan(files, only=category).collect()) == everything
+
+
+TREE = {
+    "src/a.php": "<?php\nnamespace App;\nuse App\\Dep;\nuse App\\Other;\nuse Lib\\Long as Short;\nclass C {\n  private $lost = 1;\n  private function gone() { return 1; }\n  public function run() { new Dep(); }\n}",
+    "pkg/b.py": "import os\nimport sys\nfrom a.b import c\nclass K:\n    def __own(self): return os.name\n", "pkg/odd.py": "def (", "src/c.rs": "use crate::a::{Bee, Cee};\nstruct S { own: i32 }\nfn f() { Bee::new(); }",
+    "src/d.ts": "import { ay, bee } from './x';\nclass W {\n  private lost = 1;\n  private gone() { return 1; }\n}\nconsole.log(ay);", "src/e.vue": "<template>\n<user-card/>\n</template><script>\nimport UserCard from './a';\nimport OtherCard from './b';\n</script>",
+    "src/f.rb": "class R\nend",
+}
+
+
+def test_texts_tell_what_the_index_tells(spark):
+    """One reading of the files finds what the extraction, joined to the files again, finds."""
+    files, symbols, dependencies = code_base(spark, TREE)
+    want = sorted(D.in_file(files, symbols, dependencies).collect())
+    assert {r.category for r in want} == {"unused_import", "unused_method", "unused_property"} and len({r.file_path for r in want}) >= 5
+    assert sorted(D.in_texts(files).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["unused_python_imports", "unused_vue_imports", "unused_private_members", "unused_web_imports", "unused_rust_uses"])
+def test_dead_code_moves_no_texts(spark, name):
+    got = plan(catalog.queries()[name](spark, SMALL))
+    assert got.count("MapInArrow") == 1 and "Join" not in got and got.count("Exchange") == 1  # the one that deals keys
+
+
+@pytest.mark.parametrize("table", [X.extract, D.in_texts])
+def test_names_of_the_parser_go_with_a_child(monkeypatch, table):
+    """Python's parser keeps names for as long as its process lives, so workers leave Python files to children."""
+    seen, parse = [], X.parse
+    monkeypatch.setattr(X, "parse", lambda text: seen.append(text) or parse(text))
+    for module in (X, D):
+        monkeypatch.setattr(module, "map_rows", lambda df, function, schema: function)
+
+    class Files:
+        def select(self, *_):
+            return self
+
+    run = table(Files())
+    assert len(run([(f"m{i}.py", "python", f"import a{i}\nx = 1") for i in range(50)])) == 50 and not seen
+    assert run([("a.rb", "ruby", "class R\nend")]) is not None
+
+
+def test_a_child_hands_over_rows_and_faults():
+    assert in_child(lambda rows: [(os.getpid(), sum(rows))], [1, 2])[0][1] == 3 and in_child(lambda rows: [os.getpid()], [1]) != [os.getpid()]
+    assert len(in_child(lambda rows: ["x" * 1000] * 5000, [1])) == 5000
+    with pytest.raises(RuntimeError, match="ZeroDivisionError"):
+        in_child(lambda rows: [1 // 0], [1])
+
+
+@pytest.mark.parametrize(("extractor", "text"), [(X.ruby, "require 'a'\nclass R < B\n  include M\n  def go(a, b)\n    x = 'y'\n  end\nend\n" * 20), (X.web, "import a from 'b';\nclass W extends V {\n  private x = 1;\n  go(a) { return 'y'; }\n}\n" * 20)])
+def test_extractors_keep_their_expressions(extractor, text):
+    extractor("a", text)
+    re.purge()
+    assert len(extractor("a", text).symbols) >= 40
+    assert len(re._cache) <= 3
+
+
+def test_identifiers_of_a_long_script():
+    """What stands before a name is looked at where it is; the text before it isn't copied for each."""
+    text = "import { ay } from './x';\n" + "".join(f"f{i}(a.b{i});\n" for i in range(120_000))
+    began = time.time()
+    bound, used = T.js_imports(text)
+    assert bound == [("ay", "./x", 1)] and len(used) == 120_001 and time.time() - began < 8
