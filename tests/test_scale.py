@@ -11,7 +11,7 @@ from codequarry.operators import deadcode as D
 from codequarry.operators import hardwiring as H
 from codequarry.plans import catalog
 from codequarry.plans import code_catalog as K
-from codequarry.policy import HardwiringPolicy
+from codequarry.policy import DeadCodePolicy, HardwiringPolicy
 from codequarry.session import ROWS_AT_A_TIME, in_child, map_rows
 from codequarry.sources import extract as X
 from codequarry.sources import tokens as T
@@ -177,3 +177,42 @@ def test_identifiers_of_a_long_script():
     began = time.time()
     bound, used = T.js_imports(text)
     assert bound == [("ay", "./x", 1)] and len(used) == 120_001 and time.time() - began < 8
+
+
+CLASSES = {
+    "app/Sync.php": "<?php\nnamespace App;\nclass Sync {}\n", "app/x.hooks.php": "<?php\n$h = [Sync::class];\n", "app/Lonely.php": "<?php\nnamespace App;\nclass Lonely {}\ninterface Shy {} trait Quiet {} enum Suit {}\nfinal\nclass Apart {}\n",
+    "app/Named.php": "<?php\nnamespace App;\nclass Named {}\nclass Short {}\nclass Other {}\n", "lib/Named.php": "<?php\nnamespace Lib;\nclass Named {}\nclass Short {}\nclass Other {}\n", "app/go.php": "<?php\n$c = 'App\\Named';\n$d = 'Nowhere\\Other';\nnew \\Lib\\Short();\n",
+    "app/Ending.php": "<?php\nclass Ending {}\nclass A_b {}\n", "app/imp.php": "<?php\nuse Lib\\SomeEnding;\nuse Lib\\xaxB;\n", "app/Own.php": "<?php\nuse Own;\nclass Own {}\nclass Selfish {}\n'Selfish';", "tests/Un.php": "<?php\nclass Un {}", "app/Jobs/Auto.php": "<?php\nclass Auto {}",
+    "src/lib.rs": "pub struct Kept {}\npub struct Alone {}\nstruct Hidden {}\npub trait Plain {}\npub enum E {}\nfn f() { let x: Alone; }", "src/user.rs": "fn f() { let k: Kept; }", "src/w.ts": "class Never {}\nexport default class $Odd {}", "pkg/m.py": "class Loose: pass\nclass Base: pass\nclass Sub(Base): pass\n",
+}
+
+
+@pytest.mark.parametrize(("policy", "compat", "least"), [(DeadCodePolicy(), False, 6), (DeadCodePolicy(), True, 2), (DeadCodePolicy(abandoned_languages=["rust", "typescript", "Python "], abandoned_entry_patterns=["src/l*"]), False, 3)])
+def test_texts_tell_abandoned_classes(spark, policy, compat, least):
+    index = code_base(spark, CLASSES)
+    want = sorted(D.abandoned_classes(*index, policy, compat).collect())
+    assert sorted(D.abandoned_in_texts(index[0], policy, compat).collect()) == want and len(want) >= least
+
+
+def test_classes_are_told_by_one_reading(spark, monkeypatch):
+    """Texts are read by one table function, and neither they nor their files are joined with what it found."""
+    seen, made = [], D.map_rows
+    for module in (X, D):
+        monkeypatch.setattr(module, "map_rows", lambda df, *more: seen.append(df) or made(df, *more))
+    got = plan(catalog.queries()["abandoned_classes"](spark, SMALL))
+    assert len(seen) == 1 and "content" not in got and got.count("Join") <= 2
+
+
+def test_classes_on_their_lines():
+    rng = random.Random(6)
+    for _ in range(3000):
+        line = "".join(rng.choice(["class", "trait", "struct", " ", " ", "\t", "A", "B_1", "$", "é", "(", "\xa0"]) for _ in range(rng.randint(1, 9)))
+        for name in ("A", "AA", "B_1", "$A", "A$", "Aé"):
+            for word in ("class", "struct"):
+                assert D.declares(line, word, name) == (re.search(rf"\b{word}[ \t]+{re.escape(name)}\b", line) is not None)
+
+
+def test_a_name_of_many_files_has_one_row(spark):
+    """Names that a batch of files uses come once, with the least and the greatest file."""
+    files = spark.range(500).select(F.col("id").alias("file_id"), F.format_string("src/m%d.rs", "id").alias("path"), F.lit("rust").alias("language"), F.lit("use a::Error;\nfn f() { Error::new(); }").alias("content")).coalesce(1)
+    assert rows(D.reference_tokens(files), "kind", "token", "low", "high") == [("rust", "Error", 0, 499)]
